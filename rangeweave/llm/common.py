@@ -48,3 +48,10 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 5) -> DataFrame:
+    """(label_id, label) to learn from: rows outside fold 0 whose id and label are not null, at most `bound`, in the order of a hash of the id; where an id is repeated, its largest label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != 0))
+    one = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    return one.orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
