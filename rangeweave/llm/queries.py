@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, packing, quality, rans, substrings, toxicity
+from . import decontaminate, lm, ngram_join, packing, quality, rans, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_decontamination": op5_decontamination,
@@ -47,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_score": op7_lm_score,
     "op9_token_file": op9_token_file,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": ngram_join.ORACLE, "op5_decontamination": decontaminate.ORACLE}
