@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, ngram_join, packing, quality, rans, substrings, toxicity
+from . import decontaminate, html_text, lm, ngram_join, packing, quality, rans, substrings, topk, toxicity
 from .common import table
 
 
@@ -38,10 +38,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(rans.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_lm_score": op7_lm_score,
+    "op8_main_text": op8_main_text,
     "op9_token_file": op9_token_file,
+    "op10_topk": op10_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": ngram_join.ORACLE, "op5_decontamination": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": ngram_join.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op10_topk": topk.ORACLE}
