@@ -90,8 +90,8 @@ def encode_block(slots: np.ndarray, table: Table) -> bytes:
         if full.any():
             words.append(v[full].astype("<u2")[::-1])
             v = np.where(full, v >> np.uint32(16), v)
-        q, rest = np.divmod(v, f)
-        x[: len(s)] = (q << np.uint32(SCALE)) + rest + start[s]
+        q = v // f
+        x[: len(s)] = v + q * (np.uint32(1 << SCALE) - f) + start[s]  # (q << SCALE) + v % f + start
     body = (np.concatenate(words)[::-1] if words else np.empty(0, "<u2")).astype("<u2").tobytes()
     return struct.pack("<II", n, lanes) + x.astype("<u4").tobytes() + body
 

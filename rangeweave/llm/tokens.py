@@ -10,43 +10,50 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from struct import pack
 
 DOUBLE = re.compile(r"\s\s")
 SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-CACHE_WORDS = 900_000
+CACHE_WORDS = 800_000
 
 
 #: A blank or none, Latin letters, then ASCII signs: the letters with their blank are one pre-token, the signs another.
 PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
-class WordCache(dict):
-    """piece -> bytes of its ids.  Full, it keeps what it has until as many pieces again were not in it, then starts anew."""
+class Library:
+    """The tokenizer, and how its vocabulary writes bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.missed = self.tokenizer.model, 0
+        self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.shown = {}  # how the vocabulary writes each byte, asked of the library for one character of every lead and trail byte
+        self.shown = {}  # asked of the library for one character of every lead and trail byte
         for code in [*range(0x800), *range(0x800, 0xD800, 0x40), *range(0xE000, 0x110000, 0x1000)]:
             self.shown.update(zip(chr(code).encode(), map(ord, level.pre_tokenize_str(chr(code))[0][0])))
+        self.bare, self.blanked = WordCache(self, ""), WordCache(self, " ")
 
-    def __missing__(self, piece: str) -> bytes:
+    def ids(self, piece: str) -> bytes:
         if m := PLAIN.fullmatch(piece):
             found = [t.id for t in self.model.tokenize(m[1].encode().decode("latin-1").translate(self.shown))]
-            ids = pack(f"<{len(found)}I", *found)
-            if m[2]:
-                ids += self[m[2]]
-        else:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = pack(f"<{len(found)}I", *found)
+            return pack(f"<{len(found)}I", *found) + self.bare[m[2]] if m[2] else pack(f"<{len(found)}I", *found)
+        found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return pack(f"<{len(found)}I", *found)
+
+
+class WordCache(dict):
+    """piece -> bytes of the ids of `before` + piece.  Full, it keeps what it has until as many pieces again were not in it, then starts anew."""
+
+    def __init__(self, library: Library, before: str):
+        super().__init__()
+        self.library, self.before, self.missed = library, before, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.library.ids(self.before + piece)
         if len(self) < CACHE_WORDS:
             self[piece] = ids
         else:
@@ -57,32 +64,40 @@ class WordCache(dict):
         return ids
 
 
-_caches: dict[str, WordCache] = {}
-
+_libraries: dict[str, Library] = {}
 
-def cache_of(path: str) -> WordCache:
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
 
-
-def pieces_of(text: str) -> list[str]:
-    """The text cut before every safe blank; each piece but the first starts with its blank."""
-    if " " not in text:
-        return [text] if text else []
-    parts = SAFE_BLANK.split(text) if DOUBLE.search(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
-    first, *rest = parts
-    return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+def library_of(path: str) -> Library:
+    if path not in _libraries:
+        _libraries[path] = Library(path)
+    return _libraries[path]
 
 
 def encode_texts(texts: list, path: str, end: int) -> list[bytes]:
-    """Little-endian 32-bit ids of every text (None: empty), each closed by the id `end`."""
-    ids_of, tail = cache_of(path).__getitem__, end.to_bytes(4, "little")
-    return [b"".join(map(ids_of, pieces_of(t))) + tail if t else tail for t in texts]
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
+    """Little-endian 32-bit ids of every text (None: empty), each closed by the id `end`.
+
+    Texts are cut before every safe blank and, where all white space stands alone, around every line end.
+    """
+    library, tail, out = library_of(path), end.to_bytes(4, "little"), []
+    bare, blanked = library.bare.__getitem__, library.blanked.__getitem__
+    for text in texts:
+        ids: list[bytes] = []
+        if not text:
+            pass
+        elif DOUBLE.search(text) or text[0].isspace() or text[-1].isspace():
+            first, *rest = SAFE_BLANK.split(text)
+            ids.append(bare(first))
+            ids += map(blanked, rest)
+        else:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                ids.append(bare(first))
+                ids += map(blanked, rest)
+                ids.append(bare("\n"))
+            ids.pop()
+        ids.append(tail)
+        out.append(b"".join(ids))
+    return out
 
 
 def tokenizer_path() -> str:
