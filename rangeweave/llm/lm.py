@@ -11,7 +11,7 @@ A text's tokens are its lower-cased words and one end.  P(token | history) = P(c
 Everything is counted over all training documents.  Batches of documents become arrays of token numbers once (blocks.py); counts of words are
 summed by key over all batches and answered to each batch; weights are trained by distributed gradient updates: in each round, every task
 takes adaptive gradient steps over all its batches, and the tasks' weights are averaged, by the number of their tokens, in an aggregation.
-What the driver holds is bounded: weights of ROWS x CLASSES, ENDINGS x ENDINGS pair counts.
+What the driver holds is bounded: weights of FEATURES x PLACES x CLASSES, ENDINGS x ENDINGS pair counts.
 
 Defined results: null and empty texts are the end alone; rows are scored each by itself, repeated ones alike; with no training document all counts
 are 0; other columns are ignored; words that no training document holds count as one unknown token (of their class, in the model).
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,8 +32,10 @@ from . import blocks
 from .common import arrow_batches, fold, materialize
 
 BATCH_ROWS = 1500
-ENDINGS, CLASSES, ROWS, ROUNDS = 1024, 32, 1 << 15, 1
-STEP, CHUNK = 0.15, 16384
+ENDINGS, CLASSES, FEATURES, PLACE_BITS, ROUNDS = 1024, 32, 4, 13, 1
+PLACES = 1 << PLACE_BITS
+ROWS = FEATURES * PLACES
+STEP, CHUNK = 0.15, 4096
 END = b"\x00\x20end"
 HELD = 2
 FOLDS = 7
@@ -53,15 +56,17 @@ class Batch:
 
     def dump(self) -> bytes:
         arrays = (self.ids, self.absent, self.held, self.sizes, self.keys, self.endings, self.tokens)
-        raw = [a.astype(k).tobytes() for a, k in zip(arrays, self.KINDS)]
-        return np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw)
+        raw = [np.ascontiguousarray(a.astype(k)) for a, k in zip(arrays, self.KINDS)]
+        raw = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in raw]  # byte by byte, which compresses better
+        return np.array([len(r) for r in raw], "<i8").tobytes() + zstandard.compress(b"".join(raw), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Batch:
         sizes = np.frombuffer(data, "<i8", len(cls.KINDS))
-        at, parts = 8 * len(cls.KINDS), []
+        raw, at, parts = zstandard.decompress(data[8 * len(cls.KINDS) :]), 0, []
         for n, kind in zip(sizes.tolist(), cls.KINDS):
-            parts.append(np.frombuffer(data[at : at + n], kind))
+            width = np.dtype(kind).itemsize
+            parts.append(np.frombuffer(np.frombuffer(raw, np.uint8, n, at).reshape(width, -1).T.tobytes(), kind))
             at += n
         return cls(parts)
 
@@ -90,27 +95,25 @@ def read_batch(ids: pa.Array, texts: list, held: list) -> tuple[Batch, np.ndarra
 
 
 def history(batch: Batch) -> np.ndarray:
-    """Feature rows of each token: ROWS hashed places for each of four features."""
+    """For each of the four features the hashed row of each token, within the feature's PLACES rows."""
     key = batch.keys[batch.tokens]
     n = len(key)
-    first = np.zeros(n, np.int64)  # tokens of the same document before each token
-    starts = np.cumsum(batch.sizes) - batch.sizes
-    first = np.arange(n) - np.repeat(starts, batch.sizes)
+    before = np.arange(n) - np.repeat(np.cumsum(batch.sizes) - batch.sizes, batch.sizes)  # tokens of the same document before each token
     back = []
     for k in (1, 2, 3):
         b = np.zeros(n, np.uint64)
-        b[k:] = key[:-k] if n > k else key[:0]
-        b[first < k] = np.uint64(k)
+        b[k:] = key[: max(0, n - k)]
+        b[before < k] = np.uint64(k)
         back.append(b)
-    mix = lambda a, seed: ((a ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(49)).astype(np.int32)
-    quarter = ROWS // 4
-    return np.stack([mix(back[0], 1) % quarter, mix(back[0] * np.uint64(31) + back[1], 2) % quarter + quarter, mix(back[1], 3) % quarter + 2 * quarter, mix(back[2], 4) % quarter + 3 * quarter], 1)
+    mix = lambda a, seed: ((a ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACE_BITS)).astype(np.uint16)
+    return np.stack([mix(back[0], 1), mix(back[0] * np.uint64(31) + back[1], 2), mix(back[1], 3), mix(back[2], 4)])
 
 
 def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        x += weights[rows[:, k]]
+    """weights: (features, PLACES, CLASSES); rows: (features, tokens)."""
+    x = weights[0].take(rows[0], 0)
+    for w, r in zip(weights[1:], rows[1:]):
+        x += w.take(r, 0)
     x += bias
     return x
 
@@ -118,21 +121,25 @@ def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarra
 def steps(weights: np.ndarray, memory: np.ndarray, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """Adaptive gradient steps, in place, over chunks of tokens."""
     for a in range(0, len(target), CHUNK):
-        r, t = rows[a : a + CHUNK], target[a : a + CHUNK]
+        r, t = rows[:, a : a + CHUNK], target[a : a + CHUNK]
         p = logits(weights, bias, r)
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        p *= (1 / p.sum(1))[:, None]
         p[np.arange(len(t)), t] -= 1
-        for k in range(r.shape[1]):
-            order = np.argsort(r[:, k], kind="stable")
-            own = r[order, k]
-            at = np.flatnonzero(np.diff(own, prepend=-1))
-            g = np.add.reduceat(p[order], at, axis=0)
-            g /= np.sqrt(np.diff(np.append(at, len(own)))[:, None])
+        for w, m, own in zip(weights, memory, r):
+            order = np.argsort(own, kind="stable")  # 16-bit numbers: a radix sort
+            own = own[order]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            g = np.add.reduceat(p.take(order, 0), at, axis=0)
+            g *= (1 / np.sqrt(np.diff(at, append=len(own)), dtype=np.float32))[:, None]
             u = own[at]
-            memory[u] += g * g
-            weights[u] -= STEP * g / np.sqrt(memory[u])
+            seen = m.take(u, 0) + g * g
+            m[u] = seen
+            np.sqrt(seen, out=seen)
+            g /= seen
+            g *= np.float32(STEP)
+            w[u] -= g
 
 
 def clusters(pairs: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -245,7 +252,7 @@ SLICE, LANES = 512, 512
 
 def train_round(scattered: DataFrame, weights: np.ndarray, bias: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     """One round: every task's steps over all its training tokens, then the mean of the tasks' weights, by their tokens."""
-    sent = scattered.sparkSession.sparkContext.broadcast((weights, bias, class_of))  # ROWS x CLASSES floats
+    sent = scattered.sparkSession.sparkContext.broadcast((weights, bias, class_of))  # ROWS x CLASSES numbers
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, class_of = sent.value
@@ -255,10 +262,11 @@ def train_round(scattered: DataFrame, weights: np.ndarray, bias: np.ndarray, cla
                 batch = Batch.load(v)
                 on = np.repeat(batch.held == 0, batch.sizes)
                 target = class_of[batch.endings[batch.tokens[on]]]
-                steps(w, memory, bias, history(batch)[on], target)
+                steps(w, memory, bias, history(batch)[:, on], target)
                 seen += len(target)
         if seen:
-            parts, lane = [w[i : i + SLICE].tobytes() for i in range(0, ROWS, SLICE)], TaskContext.get().partitionId() % LANES
+            flat = w.reshape(ROWS, CLASSES)
+            parts, lane = [flat[i : i + SLICE].tobytes() for i in range(0, ROWS, SLICE)], TaskContext.get().partitionId() % LANES
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([lane] * len(parts), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["part", "lane", "n", "w"])
 
     def mean(t: pa.Table) -> pa.Table:
@@ -270,10 +278,10 @@ def train_round(scattered: DataFrame, weights: np.ndarray, bias: np.ndarray, cla
     kind = "part int, lane int, n double, w binary"
     made = blocks.payloads(scattered).select("vals").mapInArrow(work, kind).groupBy("part", "lane").applyInArrow(mean, kind)  # at most LANES rows for each part
     got = made.groupBy("part").applyInArrow(mean, kind).select("part", "w").collect()
-    out = weights.copy()
+    out = weights.copy().reshape(ROWS, CLASSES)
     for part, w in got:
         out[part * SLICE : (part + 1) * SLICE] = np.frombuffer(w, np.float32).reshape(-1, CLASSES)
-    return out
+    return out.reshape(weights.shape)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -286,7 +294,7 @@ def report(docs: DataFrame) -> DataFrame:
     n_class = np.bincount(class_of, tokens, CLASSES)
     room = n_class + np.bincount(class_of, distinct, CLASSES) + 1
     bias = np.log((n_class + 1) / (n_class + 1).sum()).astype(np.float32)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights = np.zeros((FEATURES, PLACES, CLASSES), np.float32)
     for _ in range(ROUNDS):
         weights = train_round(scattered, weights, bias, class_of)
     sent = docs.sparkSession.sparkContext.broadcast((weights, bias, class_of, np.log10(room)))
@@ -300,7 +308,7 @@ def report(docs: DataFrame) -> DataFrame:
         kind = class_of[batch.endings[batch.tokens]]
         rows, p = history(batch), np.empty(len(own))
         for a in range(0, len(own), CHUNK):
-            x = logits(w, bias, rows[a : a + CHUNK])
+            x = logits(w, bias, rows[:, a : a + CHUNK])
             x -= x.max(1, keepdims=True)
             k = kind[a : a + CHUNK]
             p[a : a + CHUNK] = (x[np.arange(len(k)), k] - np.log(np.exp(x).sum(1))) / np.log(10)
