@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_batches, fold, labelled_ids
 
-BOUND = 20_000
+BOUND = 10_000
 BITS = 20
 KEEP = 20_000
 STEPS = 200
@@ -70,16 +70,21 @@ class Model:
         bias = float(np.log(share / max(1.0, per_doc.mean() if len(y) else 1.0)))
         if not len(words) or y.min() == y.max():
             return cls({}, bias)
-        sentence = np.repeat(np.arange(per_doc.sum()), np.concatenate(sizes))
-        doc = np.repeat(np.arange(len(y)), per_doc)
-        pairs = np.unique(doc[sentence].astype(np.int64) << BITS | words)  # a word counts once for a document
-        w, d = pairs & ((1 << BITS) - 1), pairs >> BITS
+        sentence = np.repeat(np.arange(per_doc.sum(), dtype=np.int32), np.concatenate(sizes))
+        doc = np.repeat(np.arange(len(y), dtype=np.int32), per_doc)
+        pairs = doc[sentence].astype(np.int64)
+        pairs <<= BITS
+        pairs |= words
+        pairs = np.unique(pairs)  # a word counts once for a document
+        w, d = (pairs & ((1 << BITS) - 1)).astype(np.int32), (pairs >> BITS).astype(np.int32)
+        del pairs
         a, n = np.bincount(w, y[d], 1 << BITS), np.bincount(w, minlength=1 << BITS)
         z = (a - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
         z[n < 4] = 0
         kept = np.argsort(-np.abs(z), kind="stable")[:KEEP]
         kept = kept[np.abs(z[kept]) > 3.5]
-        place = np.full(1 << BITS, -1)
+        del w, d
+        place = np.full(1 << BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
         on = place[words] >= 0
         col, row = place[words[on]], sentence[on]
