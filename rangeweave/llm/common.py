@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,7 +30,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read any more, and lets Spark drop the shuffle files of finished jobs.  Only for tables whose results have been materialized themselves."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        jpath = jvm.org.apache.hadoop.fs.Path(t._written_to)
+        jpath.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -55,3 +68,11 @@ def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 5) ->
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != 0))
     one = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
     return one.orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of docs has it (whatever the case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

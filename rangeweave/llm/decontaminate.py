@@ -76,9 +76,10 @@ def covered(spans: Column) -> Column:
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs beside their hit_spans and hit_items (null where clean)."""
-    found = hits(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"))
-    return docs.join(found, F.xxhash64(docs["text"]).eqNullSafe(F.col("hit_hash")) & docs["doc_id"].eqNullSafe(F.col("hit_id")), "left").drop("hit_id", "hit_hash")
+    """(row, spans, items): every document as a struct, beside its hits (null where clean)."""
+    found = hits(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "spans", "items")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(found, F.xxhash64("row.text").eqNullSafe(F.col("hit_hash")) & F.col("row.doc_id").eqNullSafe(F.col("hit_id")), "left").select("row", "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -103,12 +104,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError(f"remove: {remove!r}")
     found = with_hits(docs, benchmark)
     if remove == "documents":
-        return found.where(F.col("hit_spans").isNull()).select(*(docs[c] for c in docs.columns))
-    parts = F.regexp_extract_all("text", F.lit(PART), 0)
-    kept = F.filter(parts, lambda p, i: ~F.exists("hit_spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    rest = F.regexp_extract("text", rf"({GAP}*)\z", 1)
-    text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), rest))
-    return found.select(*((text if c == "text" else F.col(c)).alias(c) for c in docs.columns))
+        return found.where(F.col("spans").isNull()).select("row.*")
+    whole = F.col("row.text")
+    parts = F.regexp_extract_all(whole, F.lit(PART), 0)
+    kept = F.filter(parts, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    text = F.when(F.col("spans").isNull(), whole).otherwise(F.concat(F.array_join(kept, ""), F.regexp_extract(whole, rf"({GAP}*)\z", 1)))
+    return found.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -19,7 +19,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold, labelled_ids
+from .common import fold, fresh, labelled_ids
 
 BOUND = 30_000
 SIGNS = {"percent": "%", "hash": "#", "star": "*", "dollar": "$", "amp": "&", "bang": "!", "pipe": "|", "lines": "\n", "stops": ".", "commas": ",", "at": "@", "angle": "<", "slash": "/"}
@@ -120,6 +120,8 @@ class Model:
         if not len(y) or share in (0.0, 1.0):
             return cls([], [], base)
         rules = candidate_rules(x, y)
+        if not rules:
+            return cls([], [], base)
         cols = np.stack([holds(r, x) for r in rules], 1).astype(float)
         _, first = np.unique(cols, axis=1, return_index=True)
         keep = [i for i in np.sort(first) if 0 < cols[:, i].mean() < 1]
@@ -153,9 +155,10 @@ class Model:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs beside struct column quality_stats."""
-    held = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("quality_text", held).withColumn("quality_stats", F.struct(*(c.alias(k) for k, c in statistics(F.col("quality_text")).items()))).drop("quality_text")
+    """docs beside a struct of the statistics, under the fresh name quality_stats."""
+    held, out = fresh(docs, "quality_text"), fresh(docs, "quality_stats")
+    stats = F.struct(*(c.alias(k) for k, c in statistics(F.col(held)).items()))
+    return docs.withColumn(held, F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(out, stats).drop(held)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
@@ -166,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs beside quality_score (0 to 1)."""
-    return with_statistics(docs).withColumn("quality_score", model.column({k: F.col(f"quality_stats.{k}") for k in NAMES})).drop("quality_stats")
+    """docs beside quality_score (0 to 1), under a fresh name."""
+    stats = fresh(docs, "quality_stats")
+    return with_statistics(docs).withColumn(fresh(docs, "quality_score"), model.column({k: F.col(f"{stats}.{k}") for k in NAMES})).drop(stats)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ so that Spark's own commit protocol and any file system it knows make it safe:
     blocks  the ids in blocks of BLOCK ids, each coded by LANES interleaved states; any block decodes by itself
     index   byte offset and crc32 of each block: the checkpoints where parallel decoders start
 
-A decoder checks every block's crc32 over the decoded ids and raises on damage.
+A decoder checks that every block's states end where encoding began, and its crc32 over the decoded ids, and raises on damage.
 
 Coding: state x in [2**16, 2**32), 16-bit words.  Encoding runs backwards over the rows of LANES ids; each lane emits at most one
 word a step, so that all lanes advance at once in numpy.
@@ -114,6 +114,8 @@ def decode_block(data: bytes, table: Table, slot_of: np.ndarray) -> np.ndarray:
             v[few] = (v[few] << np.uint32(16)) | words[at : at + len(few)]
             at += len(few)
         x[:k] = v
+    if at != len(words) or (x != LOW).any():
+        raise ValueError("a block's states do not end where encoding began")
     return table.symbols[out]
 
 

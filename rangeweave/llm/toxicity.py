@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches, fold, labelled_ids
+from .common import arrow_batches, fold, fresh, labelled_ids
 
 BOUND = 10_000
 BITS = 20
@@ -138,9 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs with tox_score, and tox_spans: (start, end, score) in characters of the sentences that reach the threshold, or the highest one of a document that does."""
+    """docs with tox_score and tox_spans (underscores added where docs has the name): (start, end, score) in characters of the sentences that reach the threshold, or the highest one of a document that does."""
     arrow_batches(docs.sparkSession)
-    kind = "tox_score double, tox_spans array<struct<start:int,end:int,score:double>>"
+    added = [fresh(docs, "tox_score"), fresh(docs, "tox_spans")]
+    kind = f"{added[0]} double, {added[1]} array<struct<start:int,end:int,score:double>>"
     sent = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     names = docs.columns
     at = names.index("text")
@@ -158,7 +159,7 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 if not len(hot) and scores[-1] >= threshold:
                     hot = np.array([p.argmax()])
                 spans.append([{"start": found[i][0], "end": found[i][1], "score": float(p[i])} for i in hot])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, sent)], [*batch.schema.names, "tox_score", "tox_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, sent)], [*batch.schema.names, *added])
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -172,4 +173,4 @@ def report(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = BOUND) -> DataFrame:
     """docs whose score stays below the threshold, with their own columns."""
-    return locate(docs, train(docs, labels, bound), threshold).where(F.col("tox_score") < threshold).select(*docs.columns)
+    return locate(docs, train(docs, labels, bound), threshold).where(F.col(fresh(docs, "tox_score")) < threshold).select(*docs.columns)

@@ -1,0 +1,370 @@
+"""Each operator on small tables: brute force, planted cases, and nulls, empty, long and repeated rows, empty tables and clashing names."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from rangeweave.llm import decontaminate, graph, html_pages, html_text, lm, ngram_join, packing, quality, rans, substrings, tokens, topk, toxicity
+
+DOCS = "doc_id long, text string, n_chunks int, hit_id string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def words(r, n, size=4000):
+    return " ".join(f"w{r.randrange(size)}x" for _ in range(n))
+
+
+def odd_documents(r):
+    """Null and empty texts, a null id, white space only, repeated rows, one very long text."""
+    same = words(r, 60)
+    return [(1, None, 5, "h"), (2, "", 5, "h"), (None, words(r, 30), 5, None), (3, "  \n\t ", 5, "h"), (4, same, 5, "h"), (4, same, 5, "h"), (5, words(r, 40_000), 5, "h"), (6, "one", 5, "h"), (None, None, None, None), (7, "x" * 50_000, 5, "h")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_documents(random.Random(1)), DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)] + [(None, 1, 1), (4, None, None)], LABELS)
+
+
+def test_odd_tables(spark, odd, none, labels):
+    """Every operator gives a row for each row (packing: for each piece) and nothing for nothing; columns of clashing names stay."""
+    benchmark = spark.createDataFrame([(1, "a b c"), (None, None), (2, "")], "item_id long, text string")
+    for docs, n in ((odd, 10), (none, 0)):
+        assert substrings.dedup_substrings(docs).count() == n
+        assert ngram_join.jaccard_components(docs).count() == n
+        assert len(quality.report(docs, labels).where("score between 0 and 1").collect()) == n
+        assert packing.pack_documents(docs).where("start = 0").count() == n
+        assert decontaminate.report(docs, benchmark).count() == n
+        assert decontaminate.decontaminate(docs, benchmark).columns == docs.columns
+        assert len(toxicity.report(docs, labels).where("score between 0 and 1").collect()) == n
+        assert lm.report(docs).count() == n
+        assert rans.read_tokens(rans.write_tokens(docs)).count() == n
+    no_labels = spark.createDataFrame([], LABELS)
+    assert quality.report(odd, no_labels).count() == toxicity.report(odd, no_labels).count() == 10
+    pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "<p>"), (None, "u", "<article><p>" + "word " * 90_000 + ".</p></article>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    assert got[1].text == got[2].text == got[3].text == "" and got[None].n_chars == 450_001
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# 1 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_chunks_follow_content():
+    r = random.Random(2)
+    a = words(r, 3000).encode()
+    b = b"inserted text " + a[:5000] + b" more" + a[5000:]
+    cut = lambda t: {t[x:y] for e in [substrings.chunks([t])[0]] for x, y in zip([0, *e[:-1]], e)}
+    assert b"".join(a[x:y] for e in [substrings.chunks([a])[0]] for x, y in zip([0, *e[:-1]], e)) == a
+    assert len(cut(a) & cut(b)) > 0.97 * len(cut(a))
+    assert [list(e) for e in substrings.chunks([a, b""])] == [list(substrings.chunks([a])[0]), []]
+
+
+def test_planted_passages(spark):
+    """Passages of 51 words and more are cut everywhere but in the first document; clean documents stay as they are."""
+    r = random.Random(3)
+    docs, planted = [], {}
+    for i in range(600):
+        text = words(r, r.randint(20, 300), 50_000)
+        docs.append([i, text])
+    for p in range(60):
+        passage = words(r, r.randint(51, 120), 50_000)
+        for i in r.sample(range(600), 2 if p % 3 else 9):
+            at = docs[i][1].split(" ")
+            k = r.randrange(len(at) + 1)
+            docs[i][1] = " ".join([*at[:k], passage, *at[k:]])
+            planted.setdefault(p, (passage, []))[1].append(i)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r_.doc_id: r_ for r_ in substrings.dedup_substrings(frame.repartition(5)).collect()}
+    before = dict(map(tuple, docs))
+    missed = total = 0
+    for passage, ids in planted.values():
+        first, *others = sorted(set(ids))
+        middle = " ".join(passage.split(" ")[20:31])
+        for i in others:
+            total += 1
+            missed += middle in got[i].text
+    assert missed <= 0.02 * total
+    touched = {i for _, ids in planted.values() for i in ids}
+    for i, text in before.items():
+        if i not in touched:
+            assert got[i].text == text and got[i].n_cut == 0 and got[i].kept_by == []
+    assert all(set(got[i].kept_by) <= touched for i in touched)
+
+
+# 2 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(texts):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if c and 100 * c >= 75 * (len(sets[i]) + len(sets[j]) - c):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [len(s) for s in sets], [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed,split", [(4, False), (5, True)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, seed, split):
+    """Chains of edits around the threshold, copies, short texts; with and without groups split into parts."""
+    r = random.Random(seed)
+    if split:
+        monkeypatch.setattr(ngram_join, "GROUP_BYTES", 4000)
+    texts = []
+    for _ in range(25):
+        base = words(r, r.choice((1, 3, 5, 8, 20, 60, 150)), 300).split(" ")
+        for _ in range(r.randint(1, 9)):
+            texts.append(" ".join(base))
+            if r.random() < 0.3:
+                texts.append(texts[-1].upper())
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(base))
+                base[k : k + r.randint(0, 1)] = [f"new{r.randrange(99)}"]
+    r.shuffle(texts)
+    texts += ["", None]
+    sizes, comp = brute_components(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(frame).collect()}
+    assert got == {i: (sizes[i], comp[i]) for i in range(len(texts))}
+    kept = sorted(x.doc_id for x in ngram_join.keep_one(frame).collect())
+    assert kept == sorted(set(comp))
+
+
+def test_large_near_copy_group(spark):
+    r = random.Random(6)
+    base = words(r, 120).split(" ")
+    docs = []
+    for i in range(700):
+        w = list(base)
+        w[r.randrange(len(w))] = f"edit{i}"
+        docs.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {x.component_id for x in got.collect()} == {0}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200)]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_rules_compile_to_what_they_say(spark):
+    r = np.random.default_rng(0)
+    x = r.random((3000, len(quality.NAMES)))
+    y = ((x[:, 2] > 0.7) | ((x[:, 5] > 0.5) & (x[:, 9] <= 0.3))).astype(float)
+    m = quality.Model.fit(x, y)
+    assert 0 < len(m.rules) < 60
+    frame = spark.createDataFrame([tuple(map(float, row)) for row in x[:200]], ", ".join(f"{n} double" for n in quality.NAMES))
+    got = [v.s for v in frame.select(m.column({n: frame[n] for n in quality.NAMES}).alias("s")).collect()]
+    want = [1 / (1 + np.exp(-(m.intercept + sum(w for rule, w in zip(m.rules, m.weights) if quality.holds(rule, row[None])[0])))) for row in x[:200]]
+    assert got == pytest.approx(want)
+    assert ((np.array(got) > 0.5) == y[:200]).mean() > 0.97
+
+
+# 4, 9 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_cuts():
+    for n in range(1, 5000, 7):
+        parts = list(packing.cuts(n, 2048))
+        assert sum(k for _, k in parts) == n and all(k & (k - 1) == 0 and k <= 2048 for _, k in parts)
+        assert [s for s, _ in parts] == list(np.cumsum([0, *[k for _, k in parts]])[:-1])
+
+
+def test_packed_ids(spark):
+    got = packing.pack_documents(spark.createDataFrame([(1, "a few words of text")], "doc_id long, text string"), with_ids=True).orderBy("start").collect()
+    whole = [i for r in got for i in r.ids]
+    assert np.array(whole, "<u4").tobytes() == tokens.encode_texts(["a few words of text"], tokens.tokenizer_path(), 1)[0]
+
+
+def test_tokens_equal_the_library():
+    lib = tokens.library_of(tokens.tokenizer_path()).tokenizer
+    r = random.Random(8)
+    texts = ["", " ", "a  b", "\n\nx \n y", "don't we'll", "<|endoftext|> z", "é ü\tñ 12a b2 3,4", "a 　b", "%%% !! a.b-c"]
+    texts += ["".join(r.choice([" ", "\n", "a", "B", "é", "ß", ".", "'s", "1", "漢", "😀", "\t", "%%", "ll", "\x1c", "\xa0"]) for _ in range(60)) for _ in range(300)]
+    for t in texts:
+        assert tokens.encode_texts([t], tokens.tokenizer_path(), 7)[0] == np.array(lib.encode(t, add_special_tokens=False).ids + [7], "<u4").tobytes()
+
+
+@pytest.mark.parametrize("kind", ["one", "two", "skewed", "all", "few"])
+def test_rans(kind):
+    r = np.random.default_rng(1)
+    n = 300_001
+    ids = {"one": np.full(n, 7), "two": r.integers(0, 2, n), "skewed": np.minimum(r.zipf(1.3, n), 50_256), "all": r.permutation(np.resize(np.arange(50_257), n)), "few": np.array([5])}[kind].astype("<u4")
+    data = rans.encode_segment(ids)
+    assert (rans.decode_segment(data) == ids).all()
+    if kind != "few":
+        assert (rans.decode_segment(data, range(1, 2)) == ids[rans.BLOCK : 2 * rans.BLOCK]).all()
+    p = np.bincount(ids) / len(ids)
+    ideal = -(p[p > 0] * np.log2(p[p > 0])).sum() * len(ids) / 8
+    assert len(data) < 1.03 * ideal + 2 * 4 * rans.LANES + 4 * len(p) + 200
+    if kind == "skewed":
+        broken = bytearray(data)
+        broken[-5] ^= 1
+        with pytest.raises(ValueError):
+            rans.decode_segment(bytes(broken))
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_decontamination_spans(spark):
+    r = random.Random(9)
+    item = words(r, 14, 90).split(" ")
+    docs = [(1, "Before it, " + ", ".join(item).upper() + "! After."), (2, " ".join(item[:9])), (3, "tiny Item here"), (4, None), (5, " ".join(item[2:12]) + " " + " ".join(item[2:12]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(10, " ".join(item)), (9, "TINY item"), (9, "tiny item"), (8, "...")], "item_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.report(d, b).collect()}
+    assert got == {1: (14, 1), 2: (0, 0), 3: (2, 1), 4: (0, 0), 5: (20, 1)}
+    assert sorted(x.doc_id for x in decontaminate.decontaminate(d, b).collect()) == [2, 4]
+    cut = {x.doc_id: x.text for x in decontaminate.decontaminate(d, b, "spans").collect()}
+    assert cut[1] == "Before it, After." or cut[1].replace(",", "").split() == ["Before", "it", "After."] or cut[1].startswith("Before it") and cut[1].endswith("After.")
+    assert cut[3].split() == ["here"] and cut[2] == " ".join(item[:9])
+
+
+def test_decontamination_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 1)
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "b c d e f g h i j k l")], "item_id long, text string")
+    assert decontaminate.report(d, b).first().n_hit == 11
+
+
+# 6 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_offending_sentences(spark):
+    r = random.Random(10)
+    rows, marks = [], []
+    for i in range(600):
+        sentences = [words(r, 8, 200) for _ in range(6)]
+        bad = i % 4 == 0
+        if bad:
+            sentences[i % 6] += r.choice((" vile", " nasty"))
+        rows.append((i, ". ".join(sentences) + "."))
+        marks.append((i, 1, int(bad)))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, LABELS)
+    for x in toxicity.locate(d, toxicity.train(d, y)).collect():
+        assert (x.tox_score >= 0.5) == (x.doc_id % 4 == 0)
+        found = [x.text[s.start : s.end] for s in x.tox_spans]
+        assert all("vile" in f or "nasty" in f for f in found) and bool(found) == (x.doc_id % 4 == 0)
+    assert toxicity.remove_toxic(d, y).count() == 450
+
+
+# 7 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_probabilities_sum_to_one():
+    """Classes by softmax, and words and one unseen token within each class, share out all of the probability."""
+    r = np.random.default_rng(3)
+    w, bias = r.normal(size=(lm.FEATURES, lm.PLACES, lm.CLASSES)).astype(np.float32), r.normal(size=lm.CLASSES).astype(np.float32)
+    x = lm.logits(w, bias, r.integers(0, lm.PLACES, (lm.FEATURES, 50)))
+    p = np.exp(x - x.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    counts = [r.integers(1, 9, 30) for _ in range(lm.CLASSES)]
+    inside = [((c + 1).sum() + 1) / (c.sum() + len(c) + 1) for c in counts]
+    assert np.allclose((p * inside).sum(1), 1, atol=1e-5)
+
+
+def test_training_lowers_the_loss():
+    texts = ["alpha beta gamma delta " * 50, "one two three four " * 50] * 4
+    batch, _ = lm.read_batch(pa.array(range(8)), texts, [False] * 8)
+    rows, target = lm.history(batch), batch.tokens.astype(np.int64) % lm.CLASSES
+    w, bias = np.zeros((lm.FEATURES, lm.PLACES, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32)
+
+    def loss():
+        x = lm.logits(w, bias, rows)
+        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(target)), target]).mean())
+
+    before = loss()
+    for _ in range(5):
+        lm.steps(w, np.ones_like(w), bias, rows, target)
+    assert loss() < 0.5 * before
+    again = lm.Batch.load(batch.dump())
+    assert all((getattr(again, k) == getattr(batch, k)).all() for k in ("ids", "held", "sizes", "keys", "endings", "tokens"))
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_held_out_pages():
+    model, wrong, total = html_text.trained(), 0, 0
+    for page in html_pages.labelled_pages(150, seed=12345):
+        found = html_text.blocks(page)
+        y = [b.text.startswith(html_pages.MARK) for b in found]
+        for b in found:
+            b.text = b.text.lstrip(html_pages.MARK) or "."
+        wrong += sum(a != bool(b) for a, b in zip(y, model.decode(found)))
+        total += len(y)
+    assert wrong < 0.01 * total
+
+
+def test_viterbi_equals_brute_force():
+    model = html_text.trained()
+    page = html_text.blocks("<nav><a href=x>menu</a></nav><article><h1>T</h1><p>Some text.<p>More</article><div class=comments><p>me too</div><footer>&copy; x</footer>")
+    assert [b.text for b in page] == ["menu", "T", "Some text.", "More", "me too", "© x"]
+    e = [model.emission(b, i == 0) for i, b in enumerate(page)]
+    score = lambda y: sum(v for v, k in zip(e, y) if k) + sum(model.step[a][b] for a, b in zip(y, y[1:]))
+    import itertools
+
+    assert model.decode(page) == list(max(itertools.product((0, 1), repeat=len(page)), key=score)) == [0, 1, 1, 1, 0, 0]
+
+
+def test_markup():
+    b = html_text.blocks("<p>a&nbsp;&amp;\n b<br>c<script>if (a<b) x</script><!-- <p>no --><p>d <b>e</b>f<table><tr><td>g<td>h</table>&lt;i")
+    assert [x.text for x in b] == ["a & b c", "d ef", "g", "h", "<i"]
+
+
+# 10 -----------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(4)
+    x, q = r.normal(size=(200, 50)), r.normal(size=(20, 50))
+    for s in topk.LEVELS:
+        assert (topk.summary(q, s) @ topk.summary(x, s).T >= q @ x.T - 1e-9).all()
+
+
+@pytest.mark.parametrize("tile", [16384, 64])
+def test_topk_equals_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "TILE", tile)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 12))
+    x[10:60] = x[5]
+    rows = [(i, [float(v) for v in x[i]], "t") for i in range(400)] + [(900, None, "t"), (901, [1.0, None], "t"), (902, [float("nan")] * 12, "t"), (950, [float("inf")] * 12, "t"), (None, [1.0] * 12, "t")]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(6)).collect()
+    n = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    want = set()
+    for q in range(0, 400, 50):
+        s = n @ n[q]
+        order = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:5]
+        want |= {(q, k + 1, int(i), int(s[i])) for k, i in enumerate(order)}
+    assert {(g.query_id, g.rank, g.vec_id, g.score) for g in got} == want
+    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert {(g.query_id, g.vec_id) for g in topk.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).collect()} == {(0, 1)}
