@@ -92,3 +92,11 @@ def meet(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
 def deal(values: np.ndarray, ends: list[int]) -> list[bytes]:
     """An array over all entries cut into the rows' arrays."""
     return [values[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def least(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
+    """The answer of each key's smallest 64-bit value."""
+    distinct, place, ends = meet(keys)
+    out = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(out, place, np.frombuffer(b"".join(vals), np.int64))
+    return deal(out[place], ends)

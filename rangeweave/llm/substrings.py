@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import blocks
-from .common import arrow_batches, materialize
+from .common import arrow_batches, fresh, materialize
 
-MIN_WORDS = 20
+MIN_WORDS = 22
 #: One white-space byte in SPARSE ends a chunk; elsewhere one byte in 4096.
-SPARSE = 6
+SPARSE = 4
 BATCH_ROWS = 1500
 PAD = b"\x00" * 32
 NO_ID = -(1 << 63)
@@ -103,8 +103,15 @@ def cut_runs(raw: bytes, ends: np.ndarray, other: np.ndarray, min_words: int) ->
     return spans
 
 
+def keepers(ends: np.ndarray, own: np.ndarray, first: int, last: int, size: int) -> list[int]:
+    """Of the documents that keep a run's chunks the one with most of its bytes, and others with a quarter or more: the rest hold a common word or two."""
+    ids, place = np.unique(own[first:last], return_inverse=True)
+    held = np.bincount(place, np.diff(ends[first:last], prepend=ends[first - 1] if first else 0))
+    return ids[(held == held.max()) | (4 * held >= size)].tolist()
+
+
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the passages cut that an earlier document keeps, and columns n_chunks, n_cut (passages), cut_bytes, kept_by (ids of documents that keep what was cut)."""
+    """docs with the passages cut that an earlier document keeps, and columns n_chunks, n_cut (passages), cut_bytes, kept_by (ids of documents that keep what was cut), with underscores added where docs has the name."""
     spark = docs.sparkSession
     arrow_batches(spark, BATCH_ROWS)
     buckets = blocks.bucket_count(docs)
@@ -122,14 +129,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield blocks.rows(number, packed(batch), keys, least, buckets)
             number += 1
 
-    def keeper(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
-        distinct, place, ends = blocks.meet(keys)
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, np.frombuffer(b"".join(vals), np.int64))
-        return blocks.deal(least[place], ends)
-
-    taken = set(docs.columns)
-    new = [StructField(k, t) for k, t in (("n_chunks", IntegerType()), ("n_cut", IntegerType()), ("cut_bytes", LongType()), ("kept_by", ArrayType(LongType()))) if k not in taken]
+    new = [StructField(fresh(docs, k), t) for k, t in (("n_chunks", IntegerType()), ("n_cut", IntegerType()), ("cut_bytes", LongType()), ("kept_by", ArrayType(LongType())))]
     schema = StructType([*docs.schema.fields, *new])
 
     def finish(payload: bytes, answers: bytes) -> pa.Table:
@@ -153,12 +153,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for a, b, first in spans:
                     left.append(data[at:a])
                     at = b
-                    by.update(own[first : int(np.searchsorted(e, b)) + 1].tolist())
+                    by.update(keepers(e, own, first, int(np.searchsorted(e, b)) + 1, b - a))
                 texts[i] = b"".join([*left, data[at:]]).decode("utf-8", "surrogatepass")
             kept_by.append(sorted(None if x == NO_ID else x for x in by) if NO_ID not in by else [None, *sorted(by - {NO_ID})])
-        made = {"n_chunks": pa.array(n_chunks, pa.int32()), "n_cut": pa.array(n_cut, pa.int32()), "cut_bytes": pa.array(size, pa.int64()), "kept_by": pa.array(kept_by, pa.list_(pa.int64()))}
+        made = [pa.array(n_chunks, pa.int32()), pa.array(n_cut, pa.int32()), pa.array(size, pa.int64()), pa.array(kept_by, pa.list_(pa.int64()))]
         t = t.set_column(text_at, "text", pa.chunked_array([pa.array(texts, t.schema.field(text_at).type)]))
-        return pa.table([*t.columns, *(made[f.name] for f in new)], [*t.column_names, *(f.name for f in new)])
+        return pa.table([*t.columns, *made], [*t.column_names, *(f.name for f in new)])
 
     scattered = materialize(docs.mapInArrow(scatter, blocks.ROW), "chunks")
-    return blocks.gather(scattered, blocks.reduce_keys(scattered, keeper), finish, schema)
+    return blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, schema)
