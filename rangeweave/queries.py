@@ -316,11 +316,11 @@ def las_tile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.plan(spark, "las", events_las(spark, sf_dir), num_chunks=7).select("slice_id", "tile_x", "tile_y", "min_x", "max_x", "min_y", "max_y")
 
 
-@query("SELECT count(*) AS n, CAST(sum(event_id % 1000) AS BIGINT) AS z FROM events WHERE floor(value) BETWEEN 10 AND 40 AND user_id BETWEEN 20 AND 60")
+@query("SELECT count(*) AS n, CAST(coalesce(sum(event_id % 1000), 0) AS BIGINT) AS z FROM events WHERE floor(value) BETWEEN 10 AND 40 AND user_id BETWEEN 20 AND 60")
 def las_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box far smaller than the extent: tiles that do not meet it are not read."""
     d = api.read(spark, "las", events_las(spark, sf_dir), num_chunks=16, ranges={"x": (10, 40), "y": (20, 60)})
-    return d.agg(F.count("*").alias("n"), F.sum("z").cast("long").alias("z"))
+    return d.agg(F.count("*").alias("n"), F.coalesce(F.sum("z"), F.lit(0)).cast("long").alias("z"))
 
 
 @query(

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -18,9 +19,11 @@ def plain(x):
         return tuple(x.tolist())
     if isinstance(x, list):
         return tuple(x)
-    if isinstance(x, float):
-        return None if x != x else round(x, 6)
-    return x
+    if isinstance(x, (str, bytes, dict, bool)) or x is None:
+        return x
+    if pd.isna(x):
+        return None
+    return round(x, 6) if isinstance(x, float) else x
 
 
 def rows(frame):
