@@ -31,8 +31,9 @@ BUCKET_BYTES, LEAST, MOST = 6 << 20, 48, 1 << 18
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of df's size: for a scan that of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The planner's sizes of what df reads, summed: for scans those of their files.  (Its estimate of a join is a product, and says nothing.)"""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def bucket_count(df: DataFrame) -> int:

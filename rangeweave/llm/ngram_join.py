@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, release
 from .graph import components
 
 WIDTH = 5
@@ -101,8 +101,8 @@ def holders(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
     return blocks.deal(np.minimum(n, 2**32 - 1).astype("<u4")[place], ends)
 
 
-def exchange(docs: DataFrame, part_of, name: str) -> DataFrame:
-    """docs: (id, text).  Scatters part_of(set) of every document's shingles; payload: ids, marks of null ids, sizes, digests, sizes of the parts, places among the batch's keys, and the keys."""
+def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
+    """docs: (id, text).  Scatters part_of(set) of every document's shingles; payload: ids, marks of null ids, sizes, digests, sizes of the parts, places among the batch's keys, and the keys on demand."""
     arrow_batches(docs.sparkSession, BATCH_ROWS)
     buckets = blocks.bucket_count(docs)
 
@@ -113,7 +113,7 @@ def exchange(docs: DataFrame, part_of, name: str) -> DataFrame:
             parts = [part_of(s) for s in sets]
             keys, place, count = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
             ids = b.column(0)
-            payload = dump([ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("u1"), np.array([len(s) for s in sets], "<i8"), np.array([digest(s) for s in sets], "<i8"), np.array([len(p) for p in parts], "<i8"), place.astype("<u4"), keys])
+            payload = dump([ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("u1"), np.array([len(s) for s in sets], "<i8"), np.array([digest(s) for s in sets], "<i8"), np.array([len(p) for p in parts], "<i8"), place.astype("<u4"), keys if with_keys else keys[:0]])
             yield blocks.rows(number, payload, keys, count.astype("<u4"), buckets)
             number += 1
 
@@ -133,8 +133,10 @@ def sift(docs: DataFrame) -> DataFrame:
         maybe = np.array([m > 0 and s >= least_shared(m) for m, s in zip(n.tolist(), shared.tolist())], bool)
         return pa.table([pa.array(ids, mask=absent.astype(bool)), pa.array(n), pa.array(sig, mask=n == 0), pa.array(maybe)], ["doc_id", "n_shingles", "digest", "maybe"])
 
-    scattered = exchange(docs, lambda s: s[: prefix_of(len(s))] if len(s) else s, "prefixes")
-    return materialize(blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "doc_id long, n_shingles long, digest long, maybe boolean"), "sifted")
+    scattered = exchange(docs, lambda s: s[: prefix_of(len(s))] if len(s) else s, "prefixes", False)
+    out = materialize(blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "doc_id long, n_shingles long, digest long, maybe boolean"), "sifted")
+    release(scattered)
+    return out
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -152,25 +154,41 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["digest", "n", "shingles"])
 
     one = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(classes.select(F.coalesce("least_id", F.lit(NO_ID)).alias("id"), "digest"), "id").select("id", "text")
-    scattered = exchange(one.select("id", "text"), lambda s: s, "sets")
+    scattered = exchange(one.select("id", "text"), lambda s: s, "sets", True)
     found = blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "digest long, n long, shingles binary")
-    return materialize(found.join(classes.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
+    out = materialize(found.join(classes.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
+    release(scattered)
+    return out
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
-    """(node, root): sets that share a rare shingle, connected."""
+    """(node, root): sets that share a rare shingle, connected.  Each set learns, by its rare shingles, the least digest that holds one of them too."""
+    arrow_batches(sets.sparkSession, BATCH_ROWS)
+    buckets = blocks.bucket_count(sets)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            for sig, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                s = np.frombuffer(raw, "<i8")
-                s = s[: len(s) - (n - n // 4) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sig, np.int64))], ["shingle", "digest"])
-
-    arrow_batches(sets.sparkSession, 1000)
-    rare = materialize(sets.select("digest", "n", "shingles").mapInArrow(prefixes, "shingle long, digest long"), "rare")
-    least = rare.groupBy("shingle").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(rare.join(least, "shingle").select("digest", "least").distinct(), "digest", "least")
+            sig, n = b.column(0).to_numpy(), b.column(1).to_pylist()
+            rare = [s[: len(s) - (k - k // 4) + 1] for s, k in ((np.frombuffer(raw, "<u8"), k) for raw, k in zip(b.column(2).to_pylist(), n))]
+            size = np.array([len(s) for s in rare], "<i8")
+            keys, place = np.unique(np.concatenate(rare) if rare else np.empty(0, np.uint64), return_inverse=True)
+            least = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(least, place, np.repeat(sig, size))
+            yield blocks.rows(number, dump([sig.astype("<i8"), size, place.astype("<u4")]), keys, least, buckets)
+            number += 1
+
+    def finish(payload: bytes, answers: bytes) -> pa.Table:
+        sig, size, place = load(payload, ["<i8", "<i8", "<u4"])
+        least = np.frombuffer(answers, "<i8")[place]
+        pairs = np.unique(np.stack([np.repeat(sig, size), least]), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    scattered = materialize(sets.select("digest", "n", "shingles").mapInArrow(scatter, blocks.ROW), "rare")
+    out = components(blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, "a long, b long"), "a", "b")
+    release(scattered)
+    return out
 
 
 class Union:
