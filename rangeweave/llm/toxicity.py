@@ -1,12 +1,12 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence's probability is logistic in its distinct words, a document's is the noisy-or of its
+A document is a bag of sentences.  A sentence's probability is logistic in its distinct words and their beginnings, a document's is the noisy-or of its
 sentences, 1 - prod(1 - p), and only documents carry labels: the gradient of the bag's likelihood goes to the sentences that explain it.
 The trained sentence scores then point at the offending sentences.
 
-Training reads at most `bound` labelled documents (in hash order of their ids, outside fold 0).  Executors turn them into hashed word
-ids; the driver, holding numbers only, keeps the words whose share among toxic and other documents differs beyond chance and fits by
-full-batch gradient steps.  Scoring is one map over the scan; the model has at most KEEP weights.
+Training reads at most `bound` labelled documents (in hash order of their ids, outside fold 0), twice.  First executors name each document's hashed
+features, and the driver keeps those whose share among toxic and other documents differs beyond chance; then executors name the kept ones sentence by
+sentence, and the driver, holding numbers only, fits by full-batch gradient steps.  Scoring is one map over the scan; the model has at most KEEP weights.
 
 Defined results: null and empty texts hold no sentence and score 0; without a usable label (or with one class) all weights are
 zero and the bias is that of the labels' share; repeated rows score alike; long texts are scored whole; other columns are kept by locate().
@@ -32,62 +32,93 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
-def hashed(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+def hashed(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-def features(docs: DataFrame, labels: DataFrame, bound: int) -> list:
-    """(label, sizes of sentences, hashed words) of the labelled documents; a bounded number of rows."""
+def parts_of(word: str) -> tuple[int, ...]:
+    """Hashed features of a word: itself, and its first four and five characters."""
+    return tuple({hashed(word), *(hashed(f"^{word[:k]}") for k in (4, 5) if len(word) > k)})
+
+
+class Parts(dict):
+    """word -> features, bounded."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = parts_of(word)
+        return out
+
+
+def known_documents(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    few = F.broadcast(labelled_ids(labels, "toxic", bound))  # at most `bound` rows of 12 bytes
+    return docs.join(few, docs["doc_id"] == few["label_id"]).select("label", "text")
+
+
+def telling(known: DataFrame) -> tuple[np.ndarray, float, int]:
+    """The features that differ between the classes beyond chance, the share of toxic documents, and the number of documents."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Parts()
+        for batch in batches:
+            own = [np.unique([p for w in set(WORD.findall((text or "").lower())) for p in of[w]]).astype("<i4").tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["label", "own"])
+
+    n, toxic, counts = 0, 0, np.zeros((2, 1 << BITS), np.int32)
+    for label, own in known.mapInArrow(bags, "label int, own binary").collect():
+        counts[int(label > 0)][np.frombuffer(own, "<i4")] += 1
+        n, toxic = n + 1, toxic + int(label > 0)
+    share = toxic / n if n else 0.0
+    if not 0 < share < 1:
+        return np.empty(0, np.int64), share, n
+    every = counts.sum(0)
+    z = (counts[1] - every * share) / np.sqrt(np.maximum(every, 1) * share * (1 - share))
+    z[every < 4] = 0
+    kept = np.argsort(-np.abs(z), kind="stable")[:KEEP]
+    return np.sort(kept[np.abs(z[kept]) > 3.5]), share, n
+
+
+def sentences(known: DataFrame, kept: np.ndarray) -> list:
+    """(label, places of kept features by sentence, sentences they stand in, number of sentences) of each document."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, place = Parts(), {int(k): i for i, k in enumerate(kept)}
         for batch in batches:
-            sizes, words = [], []
+            cols, rows, sizes = [], [], []
             for text in batch.column(1).to_pylist():
-                own = [sorted({hashed(w) for w in WORD.findall(s)}) for s in SENTENCE.findall((text or "").lower())]
-                own = [s for s in own if s]
-                sizes.append(np.array([len(s) for s in own], "<i4").tobytes())
-                words.append(np.array([w for s in own for w in s], "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.binary()), pa.array(words, pa.binary())], ["label", "sizes", "words"])
+                col, row, n = [], [], 0
+                for s in SENTENCE.findall((text or "").lower()):
+                    if own := set(WORD.findall(s)):
+                        found = [place[p] for w in sorted(own) for p in of[w] if p in place]
+                        col += found
+                        row += [n] * len(found)
+                        n += 1
+                cols.append(np.array(col, "<i4").tobytes())
+                rows.append(np.array(row, "<i4").tobytes())
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(rows, pa.binary()), pa.array(sizes, pa.int32())], ["label", "cols", "rows", "n"])
 
-    few = F.broadcast(labelled_ids(labels, "toxic", bound))  # at most `bound` rows of 12 bytes
-    known = docs.join(few, docs["doc_id"] == few["label_id"]).select("label", "text")
-    return known.mapInArrow(bags, "label int, sizes binary, words binary").collect()
+    return known.mapInArrow(bags, "label int, cols binary, rows binary, n int").collect()
 
 
 class Model:
-    """Weights of hashed words and the bias of a sentence."""
+    """Weights of hashed features and the bias of a sentence."""
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list) -> Model:
-        y = np.array([r[0] for r in rows], float)
-        share = float(np.clip(y.mean() if len(y) else 0, 1e-4, 1 - 1e-4))
-        sizes = [np.frombuffer(r[1], "<i4") for r in rows]
-        words = np.concatenate([np.frombuffer(r[2], "<i4") for r in rows]) if rows else np.empty(0, "<i4")
-        per_doc = np.array([len(s) for s in sizes])
-        bias = float(np.log(share / max(1.0, per_doc.mean() if len(y) else 1.0)))
-        if not len(words) or y.min() == y.max():
+    def fit(cls, rows: list, kept: np.ndarray, share: float) -> Model:
+        per_doc = np.array([r[3] for r in rows])
+        bias = float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / max(1.0, per_doc.mean() if len(rows) else 1.0)))
+        if not len(kept) or not len(rows):
             return cls({}, bias)
-        sentence = np.repeat(np.arange(per_doc.sum(), dtype=np.int32), np.concatenate(sizes))
-        doc = np.repeat(np.arange(len(y), dtype=np.int32), per_doc)
-        pairs = doc[sentence].astype(np.int64)
-        pairs <<= BITS
-        pairs |= words
-        pairs = np.unique(pairs)  # a word counts once for a document
-        w, d = (pairs & ((1 << BITS) - 1)).astype(np.int32), (pairs >> BITS).astype(np.int32)
-        del pairs
-        a, n = np.bincount(w, y[d], 1 << BITS), np.bincount(w, minlength=1 << BITS)
-        z = (a - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-        z[n < 4] = 0
-        kept = np.argsort(-np.abs(z), kind="stable")[:KEEP]
-        kept = kept[np.abs(z[kept]) > 3.5]
-        del w, d
-        place = np.full(1 << BITS, -1, np.int32)
-        place[kept] = np.arange(len(kept))
-        on = place[words] >= 0
-        col, row = place[words[on]], sentence[on]
+        y = np.array([r[0] > 0 for r in rows], float)
+        doc = np.repeat(np.arange(len(y)), per_doc)
+        first = np.cumsum(per_doc) - per_doc
+        col = np.concatenate([np.frombuffer(r[1], "<i4") for r in rows])
+        row = np.concatenate([np.frombuffer(r[2], "<i4") + f for r, f in zip(rows, first)])
         theta, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
         theta[-1] = bias
         total, rate, ridge = len(y), 0.1, 1e-5
@@ -111,7 +142,7 @@ class Model:
             def __missing__(self, word: str) -> float:
                 if len(self) > 500_000:
                     self.clear()
-                x = self[word] = weights.get(hashed(word), 0.0)
+                x = self[word] = sum(weights.get(p, 0.0) for p in parts_of(word))
                 return x
 
         return Weights()
@@ -134,7 +165,9 @@ def noisy_or(logits: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     arrow_batches(docs.sparkSession)
-    return Model.fit(features(docs.select("doc_id", "text"), labels, bound))
+    known = known_documents(docs.select("doc_id", "text"), labels, bound)
+    kept, share, _ = telling(known)
+    return Model.fit(sentences(known, kept) if len(kept) else [], kept, share)
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
