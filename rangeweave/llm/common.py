@@ -41,8 +41,13 @@ def release(*tables: DataFrame) -> None:
         jvm = t.sparkSession.sparkContext._jvm
         jpath = jvm.org.apache.hadoop.fs.Path(t._written_to)
         jpath.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

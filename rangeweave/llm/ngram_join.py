@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import arrow_batches, materialize, release
+from .common import arrow_batches, materialize, release, sweep
 from .graph import components
 
 WIDTH = 5
@@ -117,7 +117,9 @@ def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
             yield blocks.rows(number, payload, keys, count.astype("<u4"), buckets)
             number += 1
 
-    return materialize(docs.mapInArrow(scatter, blocks.ROW), name)
+    out = materialize(docs.mapInArrow(scatter, blocks.ROW), name)
+    sweep(docs.sparkSession)
+    return out
 
 
 KINDS = ["<i8", "u1", "<i8", "<i8", "<i8", "<u4", "<u8"]
@@ -153,7 +155,9 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 rows.append((own, size, keys[p[np.lexsort((p, held[p]))]].tobytes()))
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["digest", "n", "shingles"])
 
-    one = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(classes.select(F.coalesce("least_id", F.lit(NO_ID)).alias("id"), "digest"), "id").select("id", "text")
+    # one plan at every size: a broadcast that fits small inputs only would hide what the join of the texts costs
+    wanted = classes.select(F.coalesce("least_id", F.lit(NO_ID)).alias("id"), "digest").hint("merge")
+    one = docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(wanted, "id").select("id", "text")
     scattered = exchange(one.select("id", "text"), lambda s: s, "sets", True)
     found = blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "digest long, n long, shingles binary")
     out = materialize(found.join(classes.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
