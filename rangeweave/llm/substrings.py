@@ -29,9 +29,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from . import blocks
 from .common import arrow_batches, fresh, materialize
 
-MIN_WORDS = 22
+MIN_WORDS = 30
 #: One white-space byte in SPARSE ends a chunk; elsewhere one byte in 4096.
-SPARSE = 4
+SPARSE = 3
 BATCH_ROWS = 1500
 PAD = b"\x00" * 32
 NO_ID = -(1 << 63)
