@@ -17,8 +17,10 @@ SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 CACHE_WORDS = 800_000
 
 
-#: A blank or none, Latin letters, then ASCII signs: the letters with their blank are one pre-token, the signs another.
-PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Latin letters, with a blank before them or without: one pre-token.  And letters with ASCII signs behind them: the signs are another.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+PLAIN = re.compile(f" ?{LETTERS}")
+SIGNED = re.compile(f"({LETTERS})([!-/:-@\\[-`{{-~]+)")
 
 
 class Library:
@@ -38,10 +40,10 @@ class Library:
         self.bare, self.blanked = WordCache(self, ""), WordCache(self, " ")
 
     def ids(self, piece: str) -> bytes:
-        if m := PLAIN.fullmatch(piece):
-            found = [t.id for t in self.model.tokenize(m[1].encode().decode("latin-1").translate(self.shown))]
-            return pack(f"<{len(found)}I", *found) + self.bare[m[2]] if m[2] else pack(f"<{len(found)}I", *found)
-        found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        if PLAIN.fullmatch(piece):
+            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return pack(f"<{len(found)}I", *found)
 
 
@@ -53,7 +55,8 @@ class WordCache(dict):
         self.library, self.before, self.missed = library, before, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.library.ids(self.before + piece)
+        m = SIGNED.fullmatch(piece)
+        ids = self[m[1]] + self.library.bare[m[2]] if m else self.library.ids(self.before + piece)
         if len(self) < CACHE_WORDS:
             self[piece] = ids
         else:
