@@ -9,7 +9,7 @@ import corpus_pipeline
 from rangeweave.llm import substrings, toxicity
 from rangeweave.llm.common import materialize
 
-from test_operators import brute_components
+from test_llm_operators import brute_components
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
