@@ -15,7 +15,7 @@ everything below; nothing is sampled or capped.
    A group above GROUP_BYTES is split: each pair of its parts is a product of its own, in its own task, so no task holds an unbounded group.
 
 Defined results: a null or empty text has no shingle and links with nothing; rows of one text link whatever their ids; a null id never names a
-component unless all its documents' ids are null; other columns are kept by keep_one(); an empty table gives an empty result.
+component unless all its documents' ids are null; keep_one() chooses rows, not ids, and keeps other columns; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import arrow_batches, materialize, release, sweep
+from .common import arrow_batches, fresh, materialize, release, sweep
 from .graph import components
 
 WIDTH = 5
@@ -102,7 +102,7 @@ def holders(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
 
 
 def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
-    """docs: (id, text).  Scatters part_of(set) of every document's shingles; payload: ids, marks of null ids, sizes, digests, sizes of the parts, places among the batch's keys, and the keys on demand."""
+    """docs: (id, text) or (id, text, row_key).  Scatters part_of(set) of every document's shingles; payload: ids, marks of null ids, sizes, digests, sizes of the parts, places among the batch's keys, the keys on demand, and the row keys."""
     arrow_batches(docs.sparkSession, BATCH_ROWS)
     buckets = blocks.bucket_count(docs)
 
@@ -112,8 +112,8 @@ def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
             sets = shingle_sets(b.column(1).to_pylist())
             parts = [part_of(s) for s in sets]
             keys, place, count = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
-            ids = b.column(0)
-            payload = dump([ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("u1"), np.array([len(s) for s in sets], "<i8"), np.array([digest(s) for s in sets], "<i8"), np.array([len(p) for p in parts], "<i8"), place.astype("<u4"), keys if with_keys else keys[:0]])
+            ids, own = b.column(0), b.column(2).to_numpy() if b.num_columns > 2 else np.zeros(b.num_rows, "<i8")
+            payload = dump([ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False).astype("u1"), np.array([len(s) for s in sets], "<i8"), np.array([digest(s) for s in sets], "<i8"), np.array([len(p) for p in parts], "<i8"), place.astype("<u4"), keys if with_keys else keys[:0], own.astype("<i8")])
             yield blocks.rows(number, payload, keys, count.astype("<u4"), buckets)
             number += 1
 
@@ -122,21 +122,21 @@ def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
     return out
 
 
-KINDS = ["<i8", "u1", "<i8", "<i8", "<i8", "<u4", "<u8"]
+KINDS = ["<i8", "u1", "<i8", "<i8", "<i8", "<u4", "<u8", "<i8"]
 
 
 def sift(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, maybe) of every document; maybe: whether it may link with another."""
+    """(doc_id, n_shingles, digest, maybe, row_key) of every document; maybe: whether it may link with another; row_key: as given, or 0."""
 
     def finish(payload: bytes, answers: bytes) -> pa.Table:
-        ids, absent, n, sig, k, place, _ = load(payload, KINDS)
+        ids, absent, n, sig, k, place, _, own = load(payload, KINDS)
         held = np.frombuffer(answers, "<u4")[place] > 1
         shared = np.bincount(np.repeat(np.arange(len(k)), k), held, len(k))
         maybe = np.array([m > 0 and s >= least_shared(m) for m, s in zip(n.tolist(), shared.tolist())], bool)
-        return pa.table([pa.array(ids, mask=absent.astype(bool)), pa.array(n), pa.array(sig, mask=n == 0), pa.array(maybe)], ["doc_id", "n_shingles", "digest", "maybe"])
+        return pa.table([pa.array(ids, mask=absent.astype(bool)), pa.array(n), pa.array(sig, mask=n == 0), pa.array(maybe), pa.array(own)], ["doc_id", "n_shingles", "digest", "maybe", "row_key"])
 
     scattered = exchange(docs, lambda s: s[: prefix_of(len(s))] if len(s) else s, "prefixes", False)
-    out = materialize(blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "doc_id long, n_shingles long, digest long, maybe boolean"), "sifted")
+    out = materialize(blocks.gather(scattered, blocks.reduce_keys(scattered, holders), finish, "doc_id long, n_shingles long, digest long, maybe boolean, row_key long"), "sifted")
     release(scattered)
     return out
 
@@ -145,7 +145,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(digest, n, shingles) of the distinct sets that may link: shingles that other sets hold, the rarest first."""
 
     def finish(payload: bytes, answers: bytes) -> pa.Table:
-        _, _, n, sig, k, place, keys = load(payload, KINDS)
+        _, _, n, sig, k, place, keys, _ = load(payload, KINDS)
         held, at, rows = np.frombuffer(answers, "<u4"), 0, []
         for size, own, length in zip(n.tolist(), sig.tolist(), k.tolist()):
             p = place[at : at + length]
@@ -282,27 +282,41 @@ def links(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
     return materialize(made, "links"), not split
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+def linked_rows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sift() of texts, and (digest, root, component) of the sets that may link: root is the least digest of those linked, component their least doc_id."""
     every = sift(texts)
     classes = materialize(every.where("maybe").groupBy("digest").agg(F.min("doc_id").alias("least_id")), "classes")
-    sets = candidate_sets(texts, classes)
+    sets = candidate_sets(texts.select("id", "text"), classes)
     edges, stars = links(sets, candidate_groups(sets))
     root = components(edges, "a", "b") if not stars else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     named = classes.join(root, F.col("digest") == F.col("node"), "left").select("digest", "least_id", F.coalesce("root", "digest").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    names = named.join(least, "root").select("digest", "component")
+    return every, named.join(least, "root").select("digest", "root", "component")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    every, names = linked_rows(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
     return every.join(names, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that link with a document of a smaller id, directly or through others: one of each component stays."""
-    found = materialize(jaccard_components(docs), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    """docs with one row of each component: the one of the smallest (doc_id, digest, hash of the text), null ids last.  Rows that link with none all stay, whatever their ids."""
+    id_, key, gone_id, gone_key = (fresh(docs, n) for n in ("row_id", "row_key", "gone_id", "gone_key"))
+    text = F.col("text").cast("string")
+    every, names = linked_rows(docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row_key")))
+    rows = materialize(every.join(names, "digest").groupBy("root", "doc_id", "digest", "row_key").agg(F.count("*").alias("n")), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest", "row_key")
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"))
+    marked = rows.join(first, "root").select(F.col("doc_id").alias(gone_id), F.col("row_key").alias(gone_key), "n", rank.eqNullSafe(F.col("first")).alias("stays"))
+    gone, again = marked.where("NOT stays").select(gone_id, gone_key), marked.where("stays AND n > 1").select(gone_id, gone_key)
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.xxhash64(text)})
+    same = F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    if again.isEmpty():
+        out = keyed.join(gone, same, "left_anti")
+    else:  # a row that stays has copies under its own id
+        out = keyed.join(gone.unionByName(again), same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([id_, key]))
+    return out.drop(id_, key)
 
 
 ORACLE = """

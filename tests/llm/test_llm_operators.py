@@ -154,6 +154,22 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, seed, split):
     assert kept == sorted(set(comp))
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """Rows that link with none stay under any id; of those that link one stays."""
+    r = random.Random(16)
+    t = [words(r, 40, 50_000) for _ in range(10)]
+    clean = [(None, t[0]), (None, t[1]), (9, t[2]), (9, t[3]), (1, None), (1, None), (None, ""), (None, "")]
+    linked = [(None, t[4]), (7, t[4]), (7, t[5]), (8, t[5] + " more"), (None, t[6]), (None, t[6]), (None, t[6] + " more"), (9, t[7]), (9, t[7]), (9, t[8]), (9, t[8] + " more")]
+    for extra in ([], linked):
+        got = [tuple(x) for x in ngram_join.keep_one(spark.createDataFrame(clean + extra, "doc_id long, text string").repartition(3)).select("doc_id", "text").collect()]
+        left = list(got)
+        for row in clean:
+            left.remove(row)
+        bases = [next(i for i in range(10) if x[1].startswith(t[i])) for x in left]
+        assert sorted(bases) == ([4, 5, 6, 7, 8] if extra else [])
+        assert not extra or {i: x[0] for i, x in zip(bases, left)} == {4: 7, 5: 7, 6: None, 7: 9, 8: 9}
+
+
 def test_large_near_copy_group(spark):
     r = random.Random(6)
     base = words(r, 120).split(" ")
