@@ -2,9 +2,11 @@
 
 A gear rolling hash runs over the bytes of each text: h = (h << 1) + GEAR[byte], so that the lowest 16 bits depend on the last 16 bytes
 only.  A chunk ends behind a white-space byte (or, in text without any, at a character) where the hash meets a condition, so boundaries
-follow the content: an insertion shifts the chunks beside it and no others.  A chunk is known by its digest.  The document with the
-smallest doc_id that holds a digest keeps it; elsewhere a run of consecutive chunks that other documents keep, of MIN_WORDS words in all
-or more, is cut from the text.  Shorter runs are common phrases and stay.
+follow the content: an insertion shifts the chunks beside it and no others.  From each chunk the shortest run of whole chunks with
+MIN_WORDS words or more is a group, known by the digest of its chunks in their order.  The document with the smallest doc_id that holds a
+group keeps it; elsewhere the group is cut from the text.  So whatever is cut stands, in one piece of MIN_WORDS words or more, in one
+earlier document; chunks that earlier documents hold here and there are common phrases and stay.  At either end of a repeated passage
+less than two chunks stay.
 
 The digests of a batch of documents travel once for each batch (blocks.py), so a passage that a third of all documents hold
 weighs no more than any other.  Memory: one batch of documents, and one bucket of digests.
@@ -36,6 +38,10 @@ BATCH_ROWS = 1500
 PAD = b"\x00" * 32
 NO_ID = -(1 << 63)
 
+#: Groups are numbers in base MULTIPLY (odd, so that it has an inverse) modulo 2**64, their chunks' digests the figures.
+MULTIPLY = 0x9E3779B97F4A7C15
+INVERSE = pow(MULTIPLY, -1, 1 << 64)
+
 _rng = random.Random(20240229)
 GEAR = np.array([0] + [_rng.getrandbits(32) for _ in range(255)], np.uint32)
 SPACE = np.zeros(256, bool)
@@ -73,10 +79,40 @@ def digests(text: bytes, ends: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def batch_digests(texts: list) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+def groups(text: bytes, ends: np.ndarray, min_words: int) -> np.ndarray:
+    """For each chunk with min_words words or more from its start on (the others are the text's last) the number of the chunk behind its group."""
+    if not len(ends):
+        return np.empty(0, np.int64)
+    solid = ~SPACE[np.frombuffer(text, np.uint8)]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begun = np.append(0, np.cumsum(first))
+    at = np.append(0, ends)
+    start = at[:-1]
+    within = solid[start] & ~first[start]  # the rest of a word counts as one
+    stop = np.maximum(np.searchsorted(begun[at], begun[start] + min_words - within), np.arange(1, len(at)))
+    return stop[stop <= len(ends)]
+
+
+def group_digests(found: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Digests of the groups, from those of the chunks."""
+    n, m = len(found), len(stop)
+    if not m:
+        return np.empty(0, np.uint64)
+    power = lambda base, k: np.cumprod(np.append(np.uint64(1), np.full(k - 1, base, np.uint64)))
+    total = np.append(np.uint64(0), np.cumsum(found * power(MULTIPLY, n)))
+    h = (total[stop] - total[:m]) * power(INVERSE, m)
+    h += (stop - np.arange(m)).astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def batch_digests(texts: list, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
+    """For each text its bytes, the ends of its chunks and the digests of its groups."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     ends = chunks(raw)
-    return raw, ends, [digests(t, e) for t, e in zip(raw, ends)]
+    return raw, ends, [group_digests(digests(t, e), groups(t, e, min_words)) for t, e in zip(raw, ends)]
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -91,23 +127,14 @@ def packed(batch: pa.RecordBatch) -> bytes:
 
 
 def cut_runs(raw: bytes, ends: np.ndarray, other: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, first chunk) in bytes of the runs of chunks that others keep, of min_words words or more."""
+    """(start, end, first chunk) in bytes of what the groups that others keep cover, overlapping ones as one."""
     if not other.any():
         return []
-    flips = np.flatnonzero(np.diff(np.concatenate([[0], other.astype(np.int8), [0]])))
-    spans = []
-    for a, b in zip(flips[::2].tolist(), flips[1::2].tolist()):
-        lo, hi = int(ends[a - 1]) if a else 0, int(ends[b - 1])
-        if len(raw[lo:hi].split()) >= min_words:
-            spans.append((lo, hi, a))
-    return spans
-
-
-def keepers(ends: np.ndarray, own: np.ndarray, first: int, last: int, size: int) -> list[int]:
-    """Of the documents that keep a run's chunks the one with most of its bytes, and others with a quarter or more: the rest hold a common word or two."""
-    ids, place = np.unique(own[first:last], return_inverse=True)
-    held = np.bincount(place, np.diff(ends[first:last], prepend=ends[first - 1] if first else 0))
-    return ids[(held == held.max()) | (4 * held >= size)].tolist()
+    hit = np.flatnonzero(other)
+    stop = groups(raw, ends, min_words)[hit]  # never falls
+    new = np.flatnonzero(np.append(True, hit[1:] >= stop[:-1]))
+    first, last = hit[new].tolist(), stop[np.append(new[1:], len(hit)) - 1].tolist()
+    return [(int(ends[a - 1]) if a else 0, int(ends[b - 1]), a) for a, b in zip(first, last)]
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -121,7 +148,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = ids_of(batch.column(id_at))
-            _, _, found = batch_digests(batch.column(text_at).to_pylist())
+            _, _, found = batch_digests(batch.column(text_at).to_pylist(), min_words)
             flat = np.concatenate(found) if found else np.empty(0, np.uint64)
             keys, place = np.unique(flat, return_inverse=True)
             least = np.full(len(keys), np.iinfo(np.int64).max)
@@ -137,23 +164,23 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         batch = t.to_batches()[0] if t.num_rows else None
         texts = batch.column(text_at).to_pylist() if batch else []
         ids = ids_of(batch.column(id_at)) if batch else []
-        raw, ends, found = batch_digests(texts)
+        raw, ends, found = batch_digests(texts, min_words)
         keys = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
         owner = np.frombuffer(answers, np.int64)
         n_chunks, n_cut, size, kept_by = [], [], [], []
         for i, (text, data, e, f) in enumerate(zip(texts, raw, ends, found)):
             own = owner[np.searchsorted(keys, f)]
-            spans = cut_runs(data, e, own != ids[i], min_words)
+            other = own != ids[i]
+            spans = cut_runs(data, e, other, min_words)
             n_chunks.append(len(e))
             n_cut.append(len(spans))
             size.append(sum(b - a for a, b, _ in spans))
-            by: set = set()
+            by = set(own[other].tolist())
             if spans:
                 left, at = [], 0
-                for a, b, first in spans:
+                for a, b, _ in spans:
                     left.append(data[at:a])
                     at = b
-                    by.update(keepers(e, own, first, int(np.searchsorted(e, b)) + 1, b - a))
                 texts[i] = b"".join([*left, data[at:]]).decode("utf-8", "surrogatepass")
             kept_by.append(sorted(None if x == NO_ID else x for x in by) if NO_ID not in by else [None, *sorted(by - {NO_ID})])
         made = [pa.array(n_chunks, pa.int32()), pa.array(n_cut, pa.int32()), pa.array(size, pa.int64()), pa.array(kept_by, pa.list_(pa.int64()))]
