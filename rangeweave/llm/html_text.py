@@ -5,7 +5,7 @@ its classes, ids and roles, and what the text looks like (length, end, share of
 Viterbi; weights come from the likelihood of labelled pages (html_pages.py, a bounded number), by gradient steps with forward-backward sums.
 
 Extraction is one map over the scan.  Defined results: a null, empty or text-free page gives the empty text and 0; broken markup is read as far as it goes
-(an unclosed comment, script or tag takes the rest); repeated rows alike; a null url stays null; other columns are ignored.
+(an unclosed comment, raw element or tag takes the rest); what scripts, styles, titles, templates, frames and text areas hold is no text; repeated rows alike; a null url stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +27,18 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option".split())
+#: Read to their end tags as they stand: none of it is text of the page.
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Formulas are part of the sentence around them.
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction menclose semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: An opening block closes an open one of these.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
+#: Blocks that may stand within a paragraph and close none.
+WITHIN = frozenset("svg object canvas select datalist optgroup option".split())
+#: Any other opening block closes an open one of these.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Of these, an opening one closes the one before it in the same list or table.
-SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist"), "optgroup": ("select",)}
 
 
 class Block:
@@ -100,11 +105,11 @@ def blocks(page: str) -> list[Block]:
                     break
             in_link = 0
             continue
-        if name in RAW:
+        if name in RAW and not (m[3].rstrip().endswith("/") and any(e[0] == "svg" for e in chain)):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if chain and chain[-1][0] in LEAVES:
+        if chain and chain[-1][0] in LEAVES and name not in WITHIN:
             chain.pop()
         if name in SIBLINGS:
             for i in range(len(chain) - 1, -1, -1):
