@@ -9,6 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def met(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """Every row with what has the same keys in `found`; null keys are the same."""
+    there = found.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(on)]
+    return rows.join(there, same, "left").drop(*(f"_on_{i}" for i in range(len(on))))
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, suffix: str = "_right", buckets: float | None = None) -> DataFrame:
     """Each left row with the last right row of the same keys at or before it (nulls without one).
 
@@ -31,12 +38,12 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
         return both.withColumn("_found", found).where("_side = 1").select("_left.*", *(F.col(f"_found.{n}").alias(n) for n in names.values()))
     both = both.withColumn("_bucket", F.floor(F.col("_at") / buckets))
     last = both.where("_side = 0").groupBy(*by, "_bucket").agg(F.max_by("_right", "_at").alias("_carry"))
-    every = both.select(*by, "_bucket").distinct().join(last, [*by, "_bucket"], "left")
+    every = met(both.select(*by, "_bucket").distinct(), last, [*by, "_bucket"])
     w = (Window.partitionBy(*by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.withColumn("_before", F.last("_carry", ignorenulls=True).over(w)).drop("_carry")
     w = Window.partitionBy(*by, "_bucket").orderBy(*order)
     found = F.coalesce(F.last("_right", ignorenulls=True).over(w), F.col("_before"))
-    return both.join(carried, [*by, "_bucket"]).withColumn("_found", found).where("_side = 1").select("_left.*", *(F.col(f"_found.{n}").alias(n) for n in names.values()))
+    return met(both, carried, [*by, "_bucket"]).withColumn("_found", found).where("_side = 1").select("_left.*", *(F.col(f"_found.{n}").alias(n) for n in names.values()))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: float, closed: bool = False) -> DataFrame:
