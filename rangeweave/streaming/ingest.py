@@ -23,10 +23,10 @@ def arrivals(spark: SparkSession, folder: str, glob: str = "*", per_trigger: int
 
 
 def ingest(spark: SparkSession, fmt: str, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*", per_trigger: int = 100, index: dict[str, Any] | None = None, available_now: bool = True, **plan: Any) -> StreamingQuery:
-    """sink(records with their _object, batch number) for each micro-batch; the number of objects in one is bounded by per_trigger."""
+    """sink(records with their _object, batch number) for each micro-batch; the source bounds the number of objects in a new one by per_trigger; one that was logged before a restart keeps its objects."""
 
     def work(batch: DataFrame, number: int) -> None:
-        paths = [r.path for r in batch.select("path").limit(per_trigger).collect()]
+        paths = [r.path for r in batch.select("path").collect()]
         frames = []
         for p in paths:
             if api.format_of(fmt).needs_index:
