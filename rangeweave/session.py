@@ -36,10 +36,20 @@ def register_all(spark: SparkSession) -> None:
         spark.dataSource.register(source_class(fmt))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.  Where that is unset, a temporary folder serves a local master; on a cluster, where each machine would write to a disk of its own, it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/rangeweave-shared"
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for raw files, in the folder that all executors share (spark.checkpoint.dir, or a temporary one where that is unset); deleted when the driver ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/rangeweave-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for raw files in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(jpath)
