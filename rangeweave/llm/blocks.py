@@ -17,6 +17,7 @@ sets it from the size of the input.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,18 +32,22 @@ BUCKET_BYTES, LEAST, MOST = 6 << 20, 48, 1 << 18
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's sizes of what df reads, summed: for scans those of their files.  (Its estimate of a join is a product, and says nothing.)"""
+    """The planner's sizes of what df reads, summed: for scans those of their files.  (Its estimate of a join is a product, and says nothing.)  Where it knows none, the bytes of the texts are counted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if size >= int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()):
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long") + 64)).first()[0] or 0
+    return size
 
 
 def bucket_count(df: DataFrame) -> int:
     return max(LEAST, min(MOST, input_bytes(df) // BUCKET_BYTES))
 
 
-def edges(buckets: int) -> np.ndarray:
-    """First keys of buckets 1, 2, ..."""
-    return np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], np.uint64)
+@functools.lru_cache(4)
+def edges(buckets: int, bits: int = 64) -> np.ndarray:
+    """First keys of buckets 1, 2, ... of keys below 2**bits."""
+    return np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], np.uint64)
 
 
 def rows(batch: int, payload: bytes, keys: np.ndarray, vals: np.ndarray, buckets: int) -> pa.RecordBatch:

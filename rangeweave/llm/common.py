@@ -2,63 +2,79 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Spark's setting to delete a query's shuffle files as soon as the query has ended; while it runs, lost ones are made again as ever.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows in one Arrow batch sent to Python; documents may be long.
-ARROW_ROWS = 1000
+from ..session import shared_dir
 
+#: Rows and bytes of one Arrow batch sent to Python; documents may be long.
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests, local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        import os
-        import tempfile
 
-        found = "file://" + os.path.join(tempfile.gettempdir(), "rangeweave-shared")
-    return found.rstrip("/")
+@contextmanager
+def settings(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """For the jobs that run inside: Arrow batches of bounded rows and bytes, and shuffle files that go as soon as their query has ended (while it runs, lost ones are made again as ever).  The session's own settings come back."""
+    own = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(ARROW_BYTES),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _place(t: DataFrame, below: str = ""):
+    sc = t.sparkSession.sparkContext
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(t._written_to + below)
+    return jpath, jpath.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors, and is deleted when the driver ends."""
+def materialize(df: DataFrame, name: str, rows: int = ARROW_ROWS, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder (in a folder for each value of column `by`) and reads it back: cuts the lineage, survives lost executors, and is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema, before = df.schema, spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    schema = df.schema
+    with settings(spark, rows):
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._written_to = path
+    jpath, fs = _place(out)
+    fs.deleteOnExit(jpath)
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing will read any more, and lets Spark drop the shuffle files of finished jobs.  Only for tables whose results have been materialized themselves."""
+    """Deletes materialized tables that nothing will read any more: whatever was made of them has been materialized itself."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        jpath = jvm.org.apache.hadoop.fs.Path(t._written_to)
-        jpath.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-    sweep(tables[0].sparkSession)
+        jpath, fs = _place(t)
+        fs.delete(jpath, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release_part(t: DataFrame, by: str, value: int) -> None:
+    """Deletes the rows of one value of the column that a materialized table was written by."""
+    jpath, fs = _place(t, f"/{by}={value}")
+    fs.delete(jpath, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long documents fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, for maps whose result is handed on unwritten and so run under the caller's settings."""
+    for b in batches:
+        for a in range(0, max(1, b.num_rows), rows):
+            yield b.slice(a, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,10 +86,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def labelled_ids(labels: DataFrame, column: str, bound: int, folds: int = 5) -> DataFrame:
     """(label_id, label) to learn from: rows outside fold 0 whose id and label are not null, at most `bound`, in the order of a hash of the id; where an id is repeated, its largest label."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != 0))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release, settings
 
 
 def is_stars(edges: DataFrame) -> bool:
     """Whether no node is both a leaf and a centre."""
-    return edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty()
+    with settings(edges.sparkSession):
+        return edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi").isEmpty()
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,8 +25,10 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "edges")
+        last, large = edges, materialize(large, "edges")
+        release(last)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import arrow_batches, fresh, materialize, release, sweep
+from .common import fresh, materialize, release, settings
 from .graph import components
 
 WIDTH = 5
@@ -103,7 +103,6 @@ def holders(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
 
 def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
     """docs: (id, text) or (id, text, row_key).  Scatters part_of(set) of every document's shingles; payload: ids, marks of null ids, sizes, digests, sizes of the parts, places among the batch's keys, the keys on demand, and the row keys."""
-    arrow_batches(docs.sparkSession, BATCH_ROWS)
     buckets = blocks.bucket_count(docs)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +116,7 @@ def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
             yield blocks.rows(number, payload, keys, count.astype("<u4"), buckets)
             number += 1
 
-    out = materialize(docs.mapInArrow(scatter, blocks.ROW), name)
-    sweep(docs.sparkSession)
-    return out
+    return materialize(docs.mapInArrow(scatter, blocks.ROW), name, BATCH_ROWS)
 
 
 KINDS = ["<i8", "u1", "<i8", "<i8", "<i8", "<u4", "<u8", "<i8"]
@@ -167,7 +164,6 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """(node, root): sets that share a rare shingle, connected.  Each set learns, by its rare shingles, the least digest that holds one of them too."""
-    arrow_batches(sets.sparkSession, BATCH_ROWS)
     buckets = blocks.bucket_count(sets)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +185,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
         pairs = pairs[:, pairs[0] != pairs[1]]
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    scattered = materialize(sets.select("digest", "n", "shingles").mapInArrow(scatter, blocks.ROW), "rare")
+    scattered = materialize(sets.select("digest", "n", "shingles").mapInArrow(scatter, blocks.ROW), "rare", BATCH_ROWS)
     out = components(blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, "a long, b long"), "a", "b")
     release(scattered)
     return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_batches
+from .common import slices
 from .tokens import encode_texts, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,11 +39,10 @@ def cuts(n: int, context: int) -> Iterator[tuple[int, int]]:
 def pack_documents(docs: DataFrame, context: int = 2048, end_id: int = 1, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece.  sequence_id: the partition's number and a count within it.  with_ids adds the ids themselves (array<int>)."""
     path = path or tokenizer_path()
-    arrow_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
+        for batch in slices(batches):
             names = SCHEMA.replace(" long", "").split(", ")
             cols: dict[str, list] = {k: [] for k in names}
             flat: list[bytes] = []

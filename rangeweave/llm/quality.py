@@ -163,8 +163,9 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     few = F.broadcast(labelled_ids(labels, "quality", bound))  # at most `bound` rows of 12 bytes
-    picked = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("label_id"))
-    rows = with_statistics(picked).select("label", "doc_id", "quality_stats.*").toPandas().sort_values(["doc_id", *NAMES])
+    met = with_statistics(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("label_id")))
+    one = met.groupBy("label_id", "label").agg(F.min_by("quality_stats", F.xxhash64("text")).alias("stats"))  # a repeated id counts once, by the text of the least hash
+    rows = one.select("label", "label_id", "stats.*").toPandas().sort_values("label_id")
     return Model.fit(rows[NAMES].to_numpy(float), rows["label"].to_numpy(float))
 
 

@@ -25,12 +25,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_batches, materialize, shuffle_partitions
+from . import blocks
+from .common import materialize
 from .tokens import encode_texts, tokenizer_path
 
 SCALE, LANES, BLOCK, SEGMENT = 16, 2048, 1 << 18, 1 << 21
 LOW = np.uint32(1 << 16)
 MAGIC = b"RWA1"
+#: Input bytes for one range of documents, and the least number of ranges.
+RANGE_BYTES, LEAST_RANGES = 12 << 20, 48
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -169,8 +172,6 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> D
     equal ids stay beside each other in any order, other columns are not written, no rows give no segment.
     """
     path = path or tokenizer_path()
-    spark = docs.sparkSession
-    arrow_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before = TaskContext.get().partitionId(), 0, 0
@@ -192,7 +193,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> D
             yield closed()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = picked.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # the text's hash cuts an id that very many rows share into several ranges
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = picked.repartitionByRange(max(LEAST_RANGES, blocks.input_bytes(docs) // RANGE_BYTES), *order).sortWithinPartitions(*order)
     return materialize(ordered.mapInArrow(encode, FILE), "rans")
 
 
@@ -202,8 +205,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
     Segments decode independently of each other.  Only the ranges' totals, one row for each file, are summed in order; their number
     is that of the files, so their table is small enough to send to every task.
     """
-    arrow_batches(files.sparkSession, 2)
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, before, docs, absent, lengths, payload in zip(*(c.to_pylist() for c in batch.columns)):
@@ -219,4 +220,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
     totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     rows = files.select("part", "before", "docs", "absent", "lengths", "payload").mapInArrow(decode, "part long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    decoded = materialize(rows, "decoded", 2)  # rows of some megabytes: two at a time
+    return decoded.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

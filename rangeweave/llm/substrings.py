@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import blocks
-from .common import arrow_batches, fresh, materialize
+from .common import fresh, materialize
 
 MIN_WORDS = 30
 #: One white-space byte in SPARSE ends a chunk; elsewhere one byte in 4096.
@@ -139,8 +139,6 @@ def cut_runs(raw: bytes, ends: np.ndarray, other: np.ndarray, min_words: int) ->
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the passages cut that an earlier document keeps, and columns n_chunks, n_cut (passages), cut_bytes, kept_by (ids of documents that keep what was cut), with underscores added where docs has the name."""
-    spark = docs.sparkSession
-    arrow_batches(spark, BATCH_ROWS)
     buckets = blocks.bucket_count(docs)
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
@@ -187,5 +185,5 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         t = t.set_column(text_at, "text", pa.chunked_array([pa.array(texts, t.schema.field(text_at).type)]))
         return pa.table([*t.columns, *made], [*t.column_names, *(f.name for f in new)])
 
-    scattered = materialize(docs.mapInArrow(scatter, blocks.ROW), "chunks")
+    scattered = materialize(docs.mapInArrow(scatter, blocks.ROW), "chunks", BATCH_ROWS)
     return blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_batches, materialize
+from .common import materialize, settings
 
 TILE, ROWS = 16384, 256
 LEVELS = (4, 16)

@@ -4,9 +4,9 @@ A document is a bag of sentences.  A sentence's probability is logistic in its d
 sentences, 1 - prod(1 - p), and only documents carry labels: the gradient of the bag's likelihood goes to the sentences that explain it.
 The trained sentence scores then point at the offending sentences.
 
-Training reads at most `bound` labelled documents (in hash order of their ids, outside fold 0), twice.  First executors name each document's hashed
-features, and the driver keeps those whose share among toxic and other documents differs beyond chance; then executors name the kept ones sentence by
-sentence, and the driver, holding numbers only, fits by full-batch gradient steps.  Scoring is one map over the scan; the model has at most KEEP weights.
+Training reads at most `bound` labelled documents (in hash order of their ids, outside fold 0), twice.  First executors count the documents of each hashed
+feature, and the driver keeps those whose share among toxic and other documents differs beyond chance; then executors name the kept ones sentence by
+sentence, and the driver, holding at most ENTRIES numbers, fits by full-batch gradient steps.  Scoring is one map over the scan; the model has at most KEEP weights.
 
 Defined results: null and empty texts hold no sentence and score 0; without a usable label (or with one class) all weights are
 zero and the bias is that of the labels' share; repeated rows score alike; long texts are scored whole; other columns are kept by locate().
@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_batches, fold, fresh, labelled_ids
+from .common import fold, fresh, labelled_ids, materialize, release, settings, slices
 
 BOUND = 10_000
+#: Sentences and features in sentences that the driver fits on, at most.
+ENTRIES = 8_000_000
 BITS = 20
 KEEP = 20_000
 STEPS = 200
@@ -52,41 +54,45 @@ class Parts(dict):
 
 
 def known_documents(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """(label_id, label, text) of at most `bound` documents; where an id is repeated among them, the text of the least hash."""
     few = F.broadcast(labelled_ids(labels, "toxic", bound))  # at most `bound` rows of 12 bytes
-    return docs.join(few, docs["doc_id"] == few["label_id"]).select("label", "text")
+    met = docs.join(few, docs["doc_id"] == few["label_id"])
+    return materialize(met.groupBy("label_id", "label").agg(F.min_by(F.col("text").cast("string"), F.xxhash64("text")).alias("text")), "labelled")
 
 
 def telling(known: DataFrame) -> tuple[np.ndarray, float, int]:
-    """The features that differ between the classes beyond chance, the share of toxic documents, and the number of documents."""
+    """The features that differ between the classes beyond chance, the share of toxic documents, and the number of documents.  Tasks add up the documents of each feature; those of less than 4 stay there."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Parts()
+        of, counts, n = Parts(), np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            own = [np.unique([p for w in set(WORD.findall((text or "").lower())) for p in of[w]]).astype("<i4").tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["label", "own"])
-
-    n, toxic, counts = 0, 0, np.zeros((2, 1 << BITS), np.int32)
-    for label, own in known.mapInArrow(bags, "label int, own binary").collect():
-        counts[int(label > 0)][np.frombuffer(own, "<i4")] += 1
-        n, toxic = n + 1, toxic + int(label > 0)
-    share = toxic / n if n else 0.0
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[int(label > 0)][np.unique([p for w in set(WORD.findall((text or "").lower())) for p in of[w]]).astype("<i4")] += 1
+                n[int(label > 0)] += 1
+        at = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *(pa.array(np.append(c[at], m), pa.int64()) for c, m in zip(counts, n))], ["part", "clean", "toxic"])
+
+    with settings(known.sparkSession):
+        got = known.select("label", "text").mapInArrow(bags, "part int, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("part < 0 OR clean + toxic >= 4").toPandas().sort_values("part")
+    at, clean, toxic = (got[c].to_numpy(np.int64) for c in ("part", "clean", "toxic"))
+    n, hits = int(clean[at < 0].sum() + toxic[at < 0].sum()), int(toxic[at < 0].sum())
+    share = hits / n if n else 0.0
     if not 0 < share < 1:
         return np.empty(0, np.int64), share, n
-    every = counts.sum(0)
-    z = (counts[1] - every * share) / np.sqrt(np.maximum(every, 1) * share * (1 - share))
-    z[every < 4] = 0
+    at, toxic, every = (x[at >= 0] for x in (at, toxic, clean + toxic))
+    z = (toxic - every * share) / np.sqrt(every * share * (1 - share))
     kept = np.argsort(-np.abs(z), kind="stable")[:KEEP]
-    return np.sort(kept[np.abs(z[kept]) > 3.5]), share, n
+    return np.sort(at[kept[np.abs(z[kept]) > 3.5]]), share, n
 
 
-def sentences(known: DataFrame, kept: np.ndarray) -> list:
-    """(label, places of kept features by sentence, sentences they stand in, number of sentences) of each document."""
+def sentences(known: DataFrame, kept: np.ndarray, entries: int = ENTRIES) -> list:
+    """(label, places of kept features by sentence, sentences they stand in, number of sentences) of documents in the order of their ids' hash, as long as sentences and features stay within `entries`."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, place = Parts(), {int(k): i for i, k in enumerate(kept)}
         for batch in batches:
             cols, rows, sizes = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 col, row, n = [], [], 0
                 for s in SENTENCE.findall((text or "").lower()):
                     if own := set(WORD.findall(s)):
@@ -97,9 +103,14 @@ def sentences(known: DataFrame, kept: np.ndarray) -> list:
                 cols.append(np.array(col, "<i4").tobytes())
                 rows.append(np.array(row, "<i4").tobytes())
                 sizes.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols, pa.binary()), pa.array(rows, pa.binary()), pa.array(sizes, pa.int32())], ["label", "cols", "rows", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols, pa.binary()), pa.array(rows, pa.binary()), pa.array(sizes, pa.int32())], ["label_id", "label", "cols", "rows", "n"])
 
-    return known.mapInArrow(bags, "label int, cols binary, rows binary, n int").collect()
+    made = materialize(known.select("label_id", "label", "text").mapInArrow(bags, "label_id long, label int, cols binary, rows binary, n int"), "bags")
+    order = [F.xxhash64("label_id"), F.col("label_id")]
+    so_far = F.sum(F.octet_length("cols") / 4 + F.col("n")).over(Window.orderBy(*order))  # no more rows than labelled documents
+    out = made.withColumn("so_far", so_far).where(F.col("so_far") <= entries).orderBy(*order).select("label", "cols", "rows", "n").collect()
+    release(made)
+    return out
 
 
 class Model:
@@ -164,15 +175,15 @@ def noisy_or(logits: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
-    arrow_batches(docs.sparkSession)
     known = known_documents(docs.select("doc_id", "text"), labels, bound)
     kept, share, _ = telling(known)
-    return Model.fit(sentences(known, kept) if len(kept) else [], kept, share)
+    rows = sentences(known, kept) if len(kept) else []
+    release(known)
+    return Model.fit(rows, kept, share)
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with tox_score and tox_spans (underscores added where docs has the name): (start, end, score) in characters of the sentences that reach the threshold, or the highest one of a document that does."""
-    arrow_batches(docs.sparkSession)
     added = [fresh(docs, "tox_score"), fresh(docs, "tox_spans")]
     kind = f"{added[0]} double, {added[1]} array<struct<start:int,end:int,score:double>>"
     sent = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -181,7 +192,7 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.known()
-        for batch in batches:
+        for batch in slices(batches):
             scores, spans = [], []
             for text in batch.column(at).to_pylist():
                 found = model.sentences(text, weight)

@@ -1,10 +1,15 @@
 """Each operator on small tables: brute force, planted cases, and nulls, empty, long and repeated rows, empty tables and clashing names."""
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from rangeweave.llm import decontaminate, graph, html_pages, html_text, lm, ngram_join, packing, quality, rans, substrings, tokens, topk, toxicity
 
@@ -296,34 +301,84 @@ def test_offending_sentences(spark):
 # 7 ------------------------------------------------------------------------------------------------------------------------------------
 
 
-def test_probabilities_sum_to_one():
-    """Classes by softmax, and words and one unseen token within each class, share out all of the probability."""
+LM_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def lm_texts(seed):
+    """Texts of few words, so that pairs repeat, with odd ones."""
+    r = random.Random(seed)
+    texts = [words(r, r.randint(1, 60), 80) for _ in range(150)] + ["", None, "\x1c\xa0 A\x85b", " Aa\tBB\n ", "w1x"]
+    return [(i, t) for i, t in enumerate(texts)] + [(None, "w1x w2x"), (3, "w5x w5x")]
+
+
+def plain_scores(docs, model):
+    """(n_tokens, n_known, N, base, score) of each text from the model's weights, word by word in plain Python."""
+    tokens = [[*LM_WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()), lm.END] for _, t in docs]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in docs]
+    kept = [ts for ts, h in zip(tokens, held) if not h]
+    count = Counter(w for ts in kept for w in ts)
+    pairs = Counter((a, b) for ts in kept for a, b in zip([None, *ts], ts))
+    n, v = sum(count.values()), len(count)
+    hashed = lambda w: xxhash.xxh3_64_intdigest(w) >> 32
+    row = lambda x, k: ((x ^ k) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - lm.PLACE_BITS)
+    kind = lambda w: int(model.class_of[zlib.crc32(w[-3:]) % lm.ENDINGS])
+    room = Counter({k: 1 for k in range(lm.CLASSES)})
+    for w, c in count.items():
+        room[kind(w)] += c + 1
+    out = []
+    for ts in tokens:
+        base = score = 0.0
+        for i, w in enumerate(ts):
+            base += math.log10((count[w] + 1) / (n + v + 1))
+            x = model.bias.astype(float).copy()
+            for k in range(1, lm.FEATURES + 1):
+                x += model.weights[k - 1][row(hashed(ts[i - k]) if i >= k else int(lm.START[k - 1 - i]), k)]
+            p = math.exp(x[kind(w)]) / np.exp(x).sum() * (count[w] + 1) / room[kind(w)]
+            seen = count[ts[i - 1]] if i else len(kept)
+            if seen:
+                g = 1 / (1 + math.exp(-model.gate[seen.bit_length()]))
+                p = (1 - g) * p + g * pairs[ts[i - 1] if i else None, w] / seen
+            score += math.log10(p)
+        out.append((len(ts), sum(w in count for w in ts), n, base, score))
+    return held, out
+
+
+def test_scores_equal_plain_python(spark):
+    docs = lm_texts(14)
+    got, model = lm.fitted(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    held, want = plain_scores(docs, model)
+    rows = sorted(((g.doc_id is None, g.doc_id or 0, g.n_tokens, g.held_out, g.n_known, g.train_tokens, g.base_score, g.score) for g in got.collect()))
+    plain = sorted((i is None, i or 0, w[0], h, *w[1:]) for (i, _), h, w in zip(docs, held, want))
+    assert [r[:6] for r in rows] == [r[:6] for r in plain]
+    assert np.array([r[6:] for r in rows]) == pytest.approx(np.array([r[6:] for r in plain]), rel=1e-5)
+
+
+def test_scores_do_not_follow_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scores = [{x.doc_id: x.score for x in lm.report(docs.repartition(n)).collect()} for n in (2, 16)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
+def test_choices_sum_to_one():
+    """Classes, words and one unseen word within each, and what followed the word before share out all of the probability."""
     r = np.random.default_rng(3)
-    w, bias = r.normal(size=(lm.FEATURES, lm.PLACES, lm.CLASSES)).astype(np.float32), r.normal(size=lm.CLASSES).astype(np.float32)
-    x = lm.logits(w, bias, r.integers(0, lm.PLACES, (lm.FEATURES, 50)))
-    p = np.exp(x - x.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    counts = [r.integers(1, 9, 30) for _ in range(lm.CLASSES)]
-    inside = [((c + 1).sum() + 1) / (c.sum() + len(c) + 1) for c in counts]
-    assert np.allclose((p * inside).sum(1), 1, atol=1e-5)
-
-
-def test_training_lowers_the_loss():
-    texts = ["alpha beta gamma delta " * 50, "one two three four " * 50] * 4
-    batch, _ = lm.read_batch(pa.array(range(8)), texts, [False] * 8)
-    rows, target = lm.history(batch), batch.tokens.astype(np.int64) % lm.CLASSES
-    w, bias = np.zeros((lm.FEATURES, lm.PLACES, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32)
-
-    def loss():
-        x = lm.logits(w, bias, rows)
-        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(target)), target]).mean())
-
-    before = loss()
-    for _ in range(5):
-        lm.steps(w, np.ones_like(w), bias, rows, target)
-    assert loss() < 0.5 * before
-    again = lm.Batch.load(batch.dump())
-    assert all((getattr(again, k) == getattr(batch, k)).all() for k in ("ids", "held", "sizes", "keys", "endings", "tokens"))
+    counts = r.integers(1, 9, 400)
+    endings = r.integers(0, lm.ENDINGS, 400)
+    model = lm.Model(r.integers(0, lm.CLASSES, lm.ENDINGS), np.bincount(endings, counts, lm.ENDINGS), np.bincount(endings, minlength=lm.ENDINGS))
+    model.weights = r.normal(size=model.weights.shape).astype(np.float32)
+    p = model.shares([r.integers(0, lm.PLACES, 50).astype(np.uint16) for _ in range(lm.FEATURES)])
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    inside = np.bincount(model.class_of[endings], counts + 1, lm.CLASSES) + 1
+    assert np.allclose(inside, np.exp(model.log_room))
+
+
+def test_words_of_texts():
+    texts = ["", None, " A\x1cb  c\n", "\t", "É ß\x85x\xa0y ZZ", "a" * 70_000 + " b"]
+    place, found, sizes = lm.words_of(pa.array(texts))
+    want = [LM_WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()) for t in texts]
+    assert [found[i] for i in place] == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+    place, found, sizes = lm.words_of(pa.array([None, ""], pa.string()))
+    assert (len(place), found, sizes.tolist()) == (0, [], [0, 0])
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------------------------
