@@ -1,9 +1,10 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Benchmark items become windows of WINDOW consecutive normalised words (an item of fewer words is one window).  Every window has an
-anchor, its longest word; the distinct windows, by anchor, are the hash set that is sent to every task when it is of at most
-MAX_WINDOWS rows, and joined by shuffle beyond that.  Documents stream through once: each word probes the anchors, and where one
-is met the words around it are compared with the whole window.  Only true hits leave that stage, so nothing else is shuffled.
+anchor, its longest word; the distinct windows, by anchor, are the hash set that is sent to every task.  A set above BLOCK_BYTES is cut
+into blocks by a hash, and documents stream through once for each block: each word probes the anchors, and where one is met the words around
+it are compared with the whole window.  Only true hits leave that stage: neither texts nor words are shuffled, and a frequent anchor is met where it
+stands.  Hits find their documents by id and hash of the text: sent to every task up to MAX_HITS rows, by shuffle beyond.
 
 Defined results: a null text has no words; repeated rows (same id and text) get the same result each; a null id is an id of its own;
 a null item id is the empty text; items without words never occur; an empty benchmark leaves every document clean; other columns
@@ -13,12 +14,15 @@ of the inputs are kept by decontaminate() and not read.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh, materialize
+
 WINDOW = 10
-#: A window takes some 200 bytes: at most 200 MB of them are broadcast.
-MAX_WINDOWS = 1_000_000
+#: Bytes of the windows that are broadcast at once, as counted by `weight`, and rows of hits (of some 100 bytes).
+BLOCK_BYTES, MAX_HITS = 128 << 20, 1_000_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: In the text as it is: a character between words, and a word with what stands before it.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -52,20 +56,32 @@ def windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+def window_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The distinct windows, in blocks of about BLOCK_BYTES each."""
+    found = materialize(windows(benchmark), "windows")
+    weight = F.octet_length("window") + F.octet_length("anchor") + 16 * F.size("items") + 100
+    blocks = max(1, -(-(found.agg(F.sum(weight.cast("long"))).first()[0] or 0) // BLOCK_BYTES))
+    return [found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [found]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans, items) of contaminated documents; spans: distinct (start, end) in words, end exclusive."""
-    found = windows(benchmark)
-    if found.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
-        found = F.broadcast(found)
+    """(hit_id, hit_hash, spans, items) of contaminated documents; spans: distinct (start, end) in words, end exclusive."""
     each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words")).select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "word"))
     start = F.col("pos") - F.col("offset")
     here = F.array_join(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("length")), " ")
-    met = each.join(found, (F.col("word") == F.col("anchor")) & (start >= 0) & (here == F.col("window")))
-    return (
-        met.select("doc_id", "text_hash", F.struct(start.alias("start"), (start + F.col("length")).alias("end")).alias("span"), "items")
-        .groupBy("doc_id", "text_hash")
+    same = (F.col("word") == F.col("anchor")) & (start >= 0) & (here == F.col("window"))
+    met = [each.join(F.broadcast(block), same).select("doc_id", "text_hash", F.struct(start.alias("start"), (start + F.col("length")).alias("end")).alias("span"), "items") for block in window_blocks(benchmark)]
+    found = (
+        reduce(DataFrame.unionByName, met)
+        .groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
         .agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     )
+    return materialize(found, "hits")
+
+
+def beside(rows: DataFrame, found: DataFrame, same: Column, how: str) -> DataFrame:
+    """rows joined with the hits, which are sent to every task if they are few."""
+    return rows.join(F.broadcast(found) if found.count() <= MAX_HITS else found, same, how)
 
 
 def covered(spans: Column) -> Column:
@@ -75,18 +91,11 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row, spans, items): every document as a struct, beside its hits (null where clean)."""
-    found = hits(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "spans", "items")
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(found, F.xxhash64("row.text").eqNullSafe(F.col("hit_hash")) & F.col("row.doc_id").eqNullSafe(F.col("hit_id")), "left").select("row", "spans", "items")
-
-
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document: how many words and items are hit."""
     sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    found = hits(docs.select("doc_id", "text"), benchmark).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
-    joined = sized.join(found, F.col("text_hash").eqNullSafe(F.col("hit_hash")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    found = hits(docs.select("doc_id", "text"), benchmark)
+    joined = beside(sized, found, (F.col("text_hash") == F.col("hit_hash")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return joined.select(
         "doc_id",
@@ -102,14 +111,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """docs without contaminated documents, or (remove="spans") with the hit words cut from their texts."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    found = with_hits(docs, benchmark)
+    found = hits(docs.select("doc_id", "text"), benchmark)
     if remove == "documents":
-        return found.where(F.col("spans").isNull()).select("row.*")
+        own = {fresh(docs, "row_id"): F.col("doc_id"), fresh(docs, "row_hash"): F.xxhash64("text")}
+        keyed = docs.withColumns(own)
+        gone = found.select(F.col("hit_id").alias(fresh(keyed, "gone_id")), F.col("hit_hash").alias(fresh(keyed, "gone_hash")))
+        (row_id, row_hash), (gone_id, gone_hash) = own, gone.columns
+        return beside(keyed, gone, (F.col(row_hash) == F.col(gone_hash)) & F.col(row_id).eqNullSafe(F.col(gone_id)), "left_anti").drop(row_id, row_hash)
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = beside(rows, found, (F.xxhash64("row.text") == F.col("hit_hash")) & F.col("row.doc_id").eqNullSafe(F.col("hit_id")), "left")
     whole = F.col("row.text")
     parts = F.regexp_extract_all(whole, F.lit(PART), 0)
     kept = F.filter(parts, lambda p, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
     text = F.when(F.col("spans").isNull(), whole).otherwise(F.concat(F.array_join(kept, ""), F.regexp_extract(whole, rf"({GAP}*)\z", 1)))
-    return found.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return joined.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -1,13 +1,14 @@
 """Exact top-k inner-product search with multi-resolution segment statistics.
 
-A vector's components are cut into equal segments; a segment is described by its mean m and the length d of what deviates from it.  For two vectors
-the inner product over a segment of length L is at most L * m * m' + d * d' (Cauchy-Schwarz), which is the inner-product form of the lower
-bound of the distance |x - y|**2 = |x|**2 + |y|**2 - 2 <x, y>.  Summed over few long segments the bound is coarse and cheap, over many short ones fine.
-A query's threshold is its k-th best exact score so far; vectors whose coarse bound stays below it are dropped, the fine bound is worked out for the rest, and
-exact integer products for those that survive both.
+Vectors are first turned by an orthogonal matrix, which changes no inner product: to the principal axes of all vectors, so that the first coordinates hold
+as much as can be.  A segment of coordinates is described by its mean m and the length d of what deviates from it.  For two vectors the inner product over a
+segment of length L is at most L * m * m' + d * d' (Cauchy-Schwarz), which is the inner-product form of the lower bound of the distance
+|x - y|**2 = |x|**2 + |y|**2 - 2 <x, y>.  Each level has segments of length one for its first coordinates, a half of all, then three quarters, then seven
+eighths, and one long segment for the rest: from coarse to fine, each level adding to the sum of the one before.  A query's threshold is its k-th best exact
+score so far; vectors whose bound stays below it are dropped, level by level, and exact integer products are worked out for the few that survive all levels.
 
-The grid of query tiles and candidate tiles has TILE vectors a side; each pair is one group of two tiles, whatever the table's size, and gives at most k rows
-a query.  Rows of all tiles meet by query id for the last ranking.
+The grid of query tiles and candidate tiles has QUERIES and TILE vectors a side; each pair is one group of two tiles, whatever the table's size, and gives at most k
+rows a query.  Rows of all tiles meet by query id for the last ranking.  The matrix takes the square of the vectors' width in memory, on the driver and in tasks.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows of null id, take no part; shorter vectors count as padded with
 zeros; rows of equal id are candidates each, and none is a candidate of a query of its own id; ties go to the smaller id; other columns are ignored.
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize, settings
 
-TILE, ROWS = 16384, 256
-LEVELS = (4, 16)
+QUERIES, TILE, ROWS = 65536, 16384, 256
+#: Shares of the coordinates that stand alone, from coarse to fine.
+LEVELS = (1 / 2, 3 / 4, 7 / 8)
 SCALE = 256
 
 
@@ -44,78 +46,96 @@ def quantised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keep, out[keep]
 
 
-def summary(x: np.ndarray, segments: int) -> np.ndarray:
-    """sqrt(L) * mean and deviation of each segment: two rows' product bounds the vectors' inner product."""
-    width = x.shape[1]
-    pad = -width % segments
-    parts = np.pad(x, ((0, 0), (0, pad))).reshape(len(x), segments, -1)
-    mean = parts.mean(2)
-    return np.hstack([mean * np.sqrt(parts.shape[2]), np.sqrt(((parts - mean[:, :, None]) ** 2).sum(2))])
+def rest(y: np.ndarray, lead: int) -> np.ndarray:
+    """sqrt(L) * mean and deviation of the segment behind the first coordinates: two rows' product bounds the inner product over it."""
+    tail = y[:, lead:]
+    if not tail.shape[1]:
+        return np.zeros((len(y), 2))
+    mean = tail.mean(1)
+    return np.stack([mean * np.sqrt(tail.shape[1]), np.sqrt(((tail - mean[:, None]) ** 2).sum(1))], 1)
 
 
-def best(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, candidates' places, scores) of the k best of each query."""
+def axes(moments: np.ndarray) -> np.ndarray:
+    """Columns: the principal axes of vectors with these second moments, the largest first."""
+    return np.linalg.eigh(moments)[1][:, ::-1]
+
+
+def best(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(query's place, candidates' places, scores, number of survivors) of the k best of each query."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
-    tables = [summary(x, s) for s in LEVELS]
+    leads = sorted({max(1, int(x.shape[1] * share)) for share in LEVELS})
+    y, p = x @ turn, queries @ turn
+    tails, ptails = [rest(y, m) for m in leads], [rest(p, m) for m in leads]
+    slack = 1 + 1e-9 * float(np.sqrt((p**2).sum(1).max(initial=0) * (y**2).sum(1).max(initial=0)))
     exact = bool(len(x)) and float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1] < 2.0**53
     if not exact:
         queries, x = np.vectorize(int, otypes=[object])(queries), np.vectorize(int, otypes=[object])(x)
+    few = min(len(ids), 4 * k)
     for a in range(0, len(queries), ROWS):
-        q, mine = queries[a : a + ROWS], own[a : a + ROWS]
-        numbers = q.astype(float)
-        coarse, fine = (summary(numbers, s) for s in LEVELS)
-        bound = coarse @ tables[0].T
-        slack = 1e-9 * np.abs(bound) + 1
-        bound += slack
-        bound[mine[:, None] == ids[None, :]] = -np.inf
-        few = min(len(ids), 4 * k)
-        first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-        scores = np.einsum("qd,qcd->qc", q, x[first]) if exact else np.array([[np.dot(r, c) for c in x[f]] for r, f in zip(q, first)], object)
-        sure = np.where(np.isfinite(np.take_along_axis(bound, first, 1)), scores.astype(float), -np.inf)
-        bar = np.sort(sure, 1)[:, -k][:, None] if few >= k else np.full((len(q), 1), -np.inf)
-        alive = (bound >= bar) & np.isfinite(bound)
-        cols = np.flatnonzero(alive.any(0))
-        alive = alive[:, cols]
-        closer = fine @ tables[1][cols].T
-        closer += 1e-9 * np.abs(closer) + 1
-        alive &= closer >= bar
-        dense = exact and alive.mean() > 0.02
-        product = q @ x[cols].T if dense else None
+        at = slice(a, a + ROWS)
+        q, sum_, done, alive = queries[at], 0.0, 0, None
+        for m, tail, ptail in zip(leads, tails, ptails):
+            sum_ = sum_ + p[at, done:m] @ y[:, done:m].T
+            bound, done = sum_ + (ptail[at] @ tail.T + slack), m
+            if alive is None:
+                bound[own[at][:, None] == ids[None, :]] = -np.inf
+                first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+                scores = np.einsum("qd,qcd->qc", q, x[first]) if exact else np.array([[np.dot(r, c) for c in x[f]] for r, f in zip(q, first)], object)
+                sure = np.where(np.isfinite(np.take_along_axis(bound, first, 1)), scores.astype(float), -np.inf)
+                bar = np.sort(sure, 1)[:, -k][:, None] if few >= k else np.full((len(q), 1), -np.inf)
+                alive = (bound >= bar) & np.isfinite(bound)
+            else:
+                alive &= bound >= bar
         for i in range(len(q)):
-            at = np.flatnonzero(alive[i])
-            s = product[i, at] if dense else x[cols[at]] @ q[i]
+            left = np.flatnonzero(alive[i])
+            s = x[left] @ q[i]
             top = np.argsort(-s, kind="stable")[:k]  # candidates stand by id
-            yield a + i, order[cols[at[top]]], s[top]
+            yield a + i, order[left[top]], s[top], len(left)
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every` the k best of all others."""
-    spark = vectors.sparkSession
-    arrow_batches(spark, 4096)
-    kind = "query boolean, n long, width int, ids binary, data binary"
+    kind = "query boolean, n long, width int, form string, ids binary, data binary"
     names = [c.split()[0] for c in kind.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, x = quantised(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)[keep].astype("<i8") if len(keep) else np.empty(0, "<i8")
+            largest = np.abs(x).max(initial=0)
+            form = "<i2" if largest < 2**15 else "<i4" if largest < 2**31 else "<f8"
             for query in (False, True):
                 on = ids % every == 0 if query else np.ones(len(ids), bool)
                 if on.any():
-                    row = (query, int(on.sum()), x.shape[1], ids[on].tobytes(), x[on].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
+                    row = (query, int(on.sum()), x.shape[1], form, ids[on].tobytes(), x[on].astype(form).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], names)
 
-    packed = materialize(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(read, kind), "vectors")
-    count = {r[0]: r[1] for r in packed.groupBy("query").agg(F.sum("n")).collect()}
-    tiles = {q: max(1, -(-count.get(q, 0) // TILE)) for q in (False, True)}
+    packed = materialize(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(read, kind), "vectors", 4096)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            for n, w, form, data in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.frombuffer(data, form).reshape(n, w).astype(float)
+                total[:w, :w] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["row", "data"])
+
+    def added(t: pa.Table) -> pa.Table:
+        return pa.table([t.column("row").slice(0, 1), pa.array([sum(np.frombuffer(d.as_py()) for d in t.column("data")).tobytes()], pa.binary())], ["row", "data"])
+
+    with settings(packed.sparkSession, 64):
+        found = packed.groupBy("query").agg(F.sum("n"), F.max("width")).collect()
+        count, width = {r[0]: r[1] for r in found}, max((r[2] for r in found), default=0)
+        rows = packed.where("NOT query").select("n", "width", "form", "data").mapInArrow(moments, "row int, data binary").groupBy("row").applyInArrow(added, "row int, data binary").orderBy("row").collect()
+    turn = axes(np.stack([np.frombuffer(r.data) for r in rows])) if rows else np.zeros((0, 0))
+    tiles = {q: max(1, -(-count.get(q, 0) // (QUERIES if q else TILE))) for q in (False, True)}
     dealt = packed.withColumn("own", F.pmod(F.xxhash64("ids"), F.when(F.col("query"), tiles[True]).otherwise(tiles[False])).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), tiles[False] - 1).otherwise(tiles[True] - 1))))
     pairs = dealt.select(F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("j"), *names)
 
     def stacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        width = max(t.column("width").to_pylist())
-        parts = [np.frombuffer(d, float).reshape(n, w) for n, w, d in zip(t.column("n").to_pylist(), t.column("width").to_pylist(), t.column("data").to_pylist())]
+        parts = [np.frombuffer(d, form).reshape(n, w).astype(float) for n, w, form, d in zip(*(t.column(c).to_pylist() for c in ("n", "width", "form", "data")))]
         return np.concatenate([np.frombuffer(i, "<i8") for i in t.column("ids").to_pylist()]), np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
 
     def tile(t: pa.Table) -> pa.Table:
@@ -124,9 +144,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         mine, others = t.filter(is_query), t.filter(pa.compute.invert(is_query))
         if mine.num_rows and others.num_rows:
             (own, q), (ids, x) = stacked(mine), stacked(others)
-            width = max(q.shape[1], x.shape[1])
-            q, x = (np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in (q, x))
-            for i, at, s in best(q, own, x, ids, k):
+            for i, at, s, _ in best(q, own, x, ids, k, turn):
                 query += [int(own[i])] * len(at)
                 vec += ids[at].tolist()
                 score += [int(v) for v in s]
