@@ -9,11 +9,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -25,6 +27,10 @@ from .sources.registry import FORMATS, format_of, register_format, source_class
 __all__ = ["attributes", "build_index", "clean", "describe_format", "exists", "index_size", "is_indexed", "map_slices", "new_from_file", "object_size", "open_index", "open_object", "plan", "read", "register_format", "slices", "write_slices"]
 
 
+#: Rows of a row group of an index table: a slice reads the groups that hold its rows.
+GROUP_ROWS = 256
+
+
 def exists(path: str) -> bool:
     return io.exists(path)
 
@@ -48,8 +54,13 @@ def open_object(path: str):
     return io.opened(path)
 
 
-def open_index(path: str, indexPath: str | None = None):
-    return io.opened(f"{index_path(path, {'indexPath': indexPath})}/manifest.json")
+def open_index(path: str, indexPath: str | None = None, name: str | None = None):
+    """The manifest as a file, or an index table as a pyarrow table."""
+    index = index_path(path, {"indexPath": indexPath})
+    if name is not None:
+        f, at = io.locate(f"{index}/{name}.parquet")
+        return pq.read_table(at, filesystem=f)
+    return io.opened(f"{index}/manifest.json")
 
 
 def new_from_file(fmt: str | Format, file_path: str, target: str, override: bool = False) -> str:
@@ -69,7 +80,7 @@ def clean(path: str, indexPath: str | None = None) -> None:
 
 
 def build_index(spark: SparkSession, fmt: str | Format, path: str, chunk_size: int | None = None, force: bool = False, indexPath: str | None = None, **extra: Any) -> Manifest:
-    """Builds the index, unless there is one and force is not set.  chunk_size: bytes for each task of a format that is indexed by many."""
+    """Builds the index, unless there is one and force is not set.  chunk_size: bytes for each task of a format that is indexed by many; others refuse it.  An old index stays until the new one is whole."""
     fmt, index = format_of(fmt), index_path(path, {"indexPath": indexPath})
     if not io.exists(path):
         raise FileNotFoundError(path)
@@ -78,19 +89,27 @@ def build_index(spark: SparkSession, fmt: str | Format, path: str, chunk_size: i
     size = io.size(path)
     if chunk_size is not None and not 0 < chunk_size <= size:
         raise ValueError(f"chunk_size must lie within 1 and the object's {size} bytes")
+    if chunk_size is not None and not fmt.parallel:
+        raise ValueError(f"the index of {fmt.name} is not built by ranges: it takes no chunk_size")
     ship(spark)
-    clean(path, indexPath)
-    found, tables = fmt.build(spark, path, size, chunk_size, **extra)
-    for name, t in tables.items():
-        if isinstance(t, pa.Table):
-            import pyarrow.parquet as pq
-
-            f, at = io.locate(f"{index}/{name}.parquet")
-            f.create_dir(at, recursive=True)
-            pq.write_table(t, f"{at}/part-0.parquet", filesystem=f)
-        else:
-            t.write.mode("overwrite").parquet(f"{index}/{name}.parquet")
-    io.write_json(f"{index}/manifest.json", {"version": VERSION, "format": fmt.name, "size": size, "attributes": found})  # last: with it the object counts as indexed
+    new = f"{index}.new-{uuid.uuid4().hex}"
+    try:
+        found, tables = fmt.build(spark, path, size, chunk_size, **extra)
+        for name, t in tables.items():
+            if isinstance(t, pa.Table):
+                f, at = io.locate(f"{new}/{name}.parquet")
+                f.create_dir(at, recursive=True)
+                pq.write_table(t, f"{at}/part-0.parquet", filesystem=f, row_group_size=GROUP_ROWS)
+            else:
+                t.write.mode("overwrite").parquet(f"{new}/{name}.parquet")
+        if callable(found):
+            found = found(lambda name: spark.read.parquet(f"{new}/{name}.parquet"))
+        io.write_json(f"{new}/manifest.json", {"version": VERSION, "format": fmt.name, "size": size, "attributes": found})
+        io.move(new, index)
+    except BaseException:
+        if io.exists(new):
+            io.delete(new)
+        raise
     return Manifest.load(path, {"indexPath": indexPath or ""})
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import pyarrow as pa
@@ -44,10 +45,13 @@ class Manifest:
             raise ValueError(f"{path} is not indexed: call build_index first")
         return cls(path, index, io.read_json(f"{index}/manifest.json"))
 
-    def table(self, name: str, columns: list[str] | None = None) -> pa.Table:
-        """An index table in order; planning reads only the columns it names."""
+    def __repr__(self) -> str:
+        return f"{self.body['format']}<{self.path}>"
+
+    def table(self, name: str, columns: list[str] | None = None, where: list[tuple] | None = None) -> pa.Table:
+        """An index table in order.  Planning reads only the columns it names, a slice only the row groups that may hold what it asks for: where has (column, comparison, value)."""
         f, path = io.locate(f"{self.index}/{name}.parquet")
-        t = pq.read_table(path, filesystem=f, columns=columns)
+        t = pq.read_table(path, filesystem=f, columns=columns, filters=where)
         return t.sort_by("ordinal") if "ordinal" in t.column_names else t
 
 
@@ -63,9 +67,25 @@ class Format:
     strategies: dict[str, Callable[..., list[dict]]] = {}
     default = ""
 
-    def build(self, spark: SparkSession, path: str, size: int, chunk_size: int | None, **extra: Any) -> tuple[dict, dict[str, DataFrame | pa.Table]]:
-        """(attributes, index tables)"""
-        return {}, {}
+    #: Whether many tasks may build the index, each from a range of chunk_size bytes.  Formats with map_chunk and finalize are such.
+    parallel = False
+
+    def map_chunk(self, path: str, chunk_id: int, start: int, end: int, num_chunks: int, **extra: Any) -> bytes:
+        """What a task makes of its range of the object."""
+        raise NotImplementedError
+
+    def finalize(self, path: str, partials: Iterator[bytes], **extra: Any) -> tuple[dict, dict[str, DataFrame | pa.Table]]:
+        """(attributes, index tables) from what the tasks made, in the order of their ranges."""
+        raise NotImplementedError
+
+    def build(self, spark: SparkSession, path: str, size: int, chunk_size: int | None, **extra: Any) -> tuple[dict | Callable[[Callable[[str], DataFrame]], dict], dict[str, DataFrame | pa.Table]]:
+        """(attributes, index tables); attributes may be a function of how to read the tables, called when they are written.  By default map_chunk over ranges and finalize, where a format has them."""
+        if not self.parallel:
+            return {}, {}
+        step = chunk_size or max(1, size)
+        n = max(1, -(-size // step))
+        made = spark.range(0, n, 1, min(n, 10_000)).mapInArrow(partial(map_chunks, self, path, size, step, n, extra), "chunk_id long, data binary")
+        return self.finalize(path, (bytes(r.data) for r in made.orderBy("chunk_id").toLocalIterator()), **extra)
 
     def schema(self, manifest: Manifest, options: dict) -> str:
         raise NotImplementedError
@@ -97,6 +117,13 @@ class Format:
         return [{"slice_id": i, **s} for i, s in enumerate(slices)]
 
 
+def map_chunks(fmt: Format, path: str, size: int, step: int, n: int, extra: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in b.column(0).to_pylist():
+            data = fmt.map_chunk(path, i, i * step, min(size, (i + 1) * step), n, **extra)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data], pa.binary())], ["chunk_id", "data"])
+
+
 def ddl_fields(ddl: str) -> dict[str, str]:
     """name -> type of a DDL schema."""
     out, depth, start = {}, 0, 0

@@ -10,19 +10,21 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import io
 from ..plans import rules
+from ..session import scratch
 from .base import Format, Manifest
 
 HEADER = re.compile(rb"(?m)^>[^\n]*\n?")
 DEFAULT_CHUNK = 64 << 20
-LOOK = 1 << 16
+LOOK, MARK = 1 << 16, 1 << 20
 
 
-def headers(path: str, size: int, start: int, end: int) -> list[tuple[int, int]]:
-    """(start, end) of the headers that start in [start, end); end is behind the line end, which is read on for."""
+def headers(path: str, size: int, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the headers that start in [start, end), where end is behind the line end, which is read on for; and for each MARK bytes of the range (start, line end bytes in them)."""
     out = []
     with io.opened(path) as f:
         before = f.read_at(1, start - 1) if start else b"\n"
         data = f.read_at(end - start, start)
+        marks = [(start + i, data.count(b"\n", i, i + MARK) + data.count(b"\r", i, i + MARK)) for i in range(0, len(data), MARK)]
         stop = end
         while stop < size and data.rfind(b">") > data.rfind(b"\n"):  # a last line that may be a header's beginning
             more = f.read_at(min(LOOK, size - stop), stop)
@@ -31,7 +33,17 @@ def headers(path: str, size: int, start: int, end: int) -> list[tuple[int, int]]
             if m.start() == 0 and before != b"\n" or start + m.start() >= end:
                 continue
             out.append((start + m.start(), start + m.end()))
-    return out
+    return out, marks
+
+
+def line_ends(manifest: Manifest, f, position: int) -> int:
+    """Line end bytes before a position: the sum up to the mark before it, and a count of the bytes since, MARK at most."""
+    t = manifest.table("marks", ["at", "before"], [("at", "<=", position), ("at", ">", position - MARK)])
+    if not t.num_rows:
+        return 0
+    at, before = max(zip(t.column("at").to_pylist(), t.column("before").to_pylist()))
+    data = f.read_at(position - at, at)
+    return before + data.count(b"\n") + data.count(b"\r")
 
 
 def plan(manifest: Manifest, num_chunks: int) -> list[dict]:
@@ -40,10 +52,11 @@ def plan(manifest: Manifest, num_chunks: int) -> list[dict]:
 
 
 class Fasta(Format):
-    """The one format whose index is built by many tasks: chunk_size sets their ranges (none: one of 64 MiB each)."""
+    """Indexed by many tasks: chunk_size sets their ranges (none: one of 64 MiB each)."""
 
     name = "fasta"
     attributes = {"num_sequences": "bigint"}
+    parallel = True
     strategies = {"num_chunks": plan}
     default = "num_chunks"
 
@@ -54,16 +67,21 @@ class Fasta(Format):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in b.column(0).to_pylist():
-                    found = headers(path, size, i * cs, min(size, (i + 1) * cs))
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["chunk", "id_offset", "seq_offset"])
-
-        rows = spark.range(0, n, 1, min(n, 10_000)).mapInArrow(work, "chunk long, id_offset long, seq_offset long")
+                    found, marks = headers(path, size, i * cs, min(size, (i + 1) * cs))
+                    rows = [(i, True, a, z) for a, z in found] + [(i, False, a, n) for a, n in marks]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["chunk", "header", "a", "b"])
+
+        folder = scratch(spark, "fasta")  # the object is read once; numbers follow from what was found in it
+        spark.range(0, n, 1, min(n, 10_000)).mapInArrow(work, "chunk long, header boolean, a long, b long").write.parquet(f"{folder}/rows")
+        rows = spark.read.parquet(f"{folder}/rows")
+        heads = rows.where("header").select("chunk", F.col("a").alias("id_offset"), F.col("b").alias("seq_offset"))
         # numbers in order from sums over chunks, which are few, and a count within each
-        counts = rows.groupBy("chunk").agg(F.count("*").alias("n"))
+        counts = heads.groupBy("chunk").agg(F.count("*").alias("n"))
         before = counts.select("chunk", (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("before"))
         within = F.row_number().over(Window.partitionBy("chunk").orderBy("id_offset"))
-        index = rows.withColumn("within", within).join(F.broadcast(before), "chunk").select((F.col("before") + F.col("within") - 1).alias("ordinal"), "id_offset", "seq_offset")
-        return {"num_sequences": index.count()}, {"headers": index}
+        index = heads.withColumn("within", within).join(F.broadcast(before), "chunk").select((F.col("before") + F.col("within") - 1).alias("ordinal"), "id_offset", "seq_offset")
+        marks = rows.where("NOT header").select(F.col("a").alias("at"), (F.sum("b").over(Window.orderBy("a")) - F.col("b")).alias("before"))  # a row for each MARK bytes
+        return lambda read: {"num_sequences": read("headers").count()}, {"headers": index, "marks": marks}
 
     def schema(self, manifest, options):
         return "chunk_id int, seq_id string, description string, seq_offset long, sequence string, is_continuation boolean"
@@ -82,10 +100,9 @@ class Fasta(Format):
             m = HEADER.search(data)
             at = m.start() if m else len(data)
             if at:
-                raw_before = part["offset"]
                 with io.opened(manifest.path) as f:
-                    skipped = f.read_at(raw_before, part["header_end"])
-                rows.append((head, len(skipped) - skipped.count(b"\n") - skipped.count(b"\r"), data[:at], True))
+                    ends = line_ends(manifest, f, part["start"]) - line_ends(manifest, f, part["header_end"])
+                rows.append((head, part["offset"] - ends, data[:at], True))
         found = list(HEADER.finditer(data, at))
         for m, after in zip(found, [*found[1:], None]):
             rows.append((m[0], 0, data[m.end() : after.start() if after else len(data)], False))

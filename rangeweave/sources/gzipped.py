@@ -74,10 +74,7 @@ class GzipText(Format):
         """(number, line) of a slice; lines end at \\n only, a last one needs none."""
         if part["line_0"] >= part["line_1"]:
             return
-        import pyarrow.compute as pc
-
-        t = manifest.table("windows")
-        t = t.filter(pc.equal(t.column("ordinal"), part["window"]))
+        t = manifest.table("windows", where=[("ordinal", "==", part["window"])])  # a few windows of 32 KiB, whatever their number
         point = {c: t.column(c)[0].as_py() for c in t.column_names}
         point["window"] = zlib.decompress(point["window"])
         number, held, partial = point["line_number"], [], bool(point["mid_line"])  # partial: the current line's beginning is not at hand

@@ -108,16 +108,15 @@ class ImzML(Format):
 
     def bytes_of(self, manifest: Manifest, part: dict) -> tuple[bytes, bytes]:
         """(shared m/z array, or none; the slice's range)"""
-        t = manifest.table("spectra", ["ordinal", "mz_offset"])
+        first = manifest.table("spectra", ["mz_offset"], [("ordinal", "==", part["spectrum_start"])]).column(0)[0].as_py()
         with io.opened(manifest.path) as f:
-            first = t.column("mz_offset")[part["spectrum_start"]].as_py()
             mz = f.read_at(part["mz_range_1"] - first, first) if manifest.attributes["is_continuous"] else b""
             return mz, f.read_at(part["range_1"] - part["range_0"], part["range_0"])
 
     def read(self, manifest, part, options) -> Iterator[pa.RecordBatch]:
         a = manifest.attributes
         mz_shared, data = self.bytes_of(manifest, part)
-        t = manifest.table("spectra").slice(part["spectrum_start"], part["spectrum_end"] - part["spectrum_start"])
+        t = manifest.table("spectra", where=[("ordinal", ">=", part["spectrum_start"]), ("ordinal", "<", part["spectrum_end"])])
         col = {c: t.column(c).to_pylist() for c in t.column_names}
         base, mzs, ints = part["range_0"], [], []
         for mo, ml, io_, il in zip(col["mz_offset"], col["mz_length"], col["int_offset"], col["int_length"]):
