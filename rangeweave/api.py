@@ -24,7 +24,7 @@ from .session import ship
 from .sources.base import VERSION, Format, Manifest, index_path
 from .sources.registry import FORMATS, format_of, register_format, source_class
 
-__all__ = ["attributes", "build_index", "clean", "describe_format", "exists", "index_size", "is_indexed", "map_slices", "new_from_file", "object_size", "open_index", "open_object", "plan", "read", "register_format", "slices", "write_slices"]
+__all__ = ["attributes", "build_index", "clean", "describe_format", "exists", "index_size", "is_indexed", "map_slices", "new_from_file", "object_size", "open_index", "open_object", "plan", "read", "register_format", "slices", "write_folders", "write_slices"]
 
 
 #: Rows of a row group of an index table: a slice reads the groups that hold its rows.
@@ -177,6 +177,24 @@ def map_slices(frame: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
     return frame.groupBy(key).applyInPandas(fn, schema)
 
 
+def write_folders(spark: SparkSession, fmt: str | Format, path: str, folder: str, strategy: str | None = None, indexPath: str | None = None, **parameters: Any) -> DataFrame:
+    """For formats whose slices are folders: each slice written by a task to <folder>/slice-<n>; (slice_id, path)."""
+    fmt = format_of(fmt)
+    ship(spark)
+    manifest = fmt.manifest(path, {"indexPath": indexPath or ""})
+    parts = [(s["slice_id"], json.dumps(s)) for s in fmt.plan(manifest, strategy, parameters)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            paths = [f"{folder}/slice-{i:06d}" for i in ids]
+            for part, target in zip(b.column(1).to_pylist(), paths):
+                fmt.write_slice(manifest, json.loads(part), target)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["slice_id", "path"])
+
+    return spark.createDataFrame(parts, "slice_id int, part string").repartition(max(1, len(parts))).mapInArrow(work, "slice_id int, path string")
+
+
 def write_slices(payloads: DataFrame, folder: str, suffix: str = "") -> DataFrame:
     """Writes each payload to <folder>/slice-<n><suffix>, in the tasks, and returns (slice_id, path, bytes).  A task that runs again writes the same file again."""
 

@@ -17,7 +17,8 @@ def met(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, suffix: str = "_right", buckets: float | None = None) -> DataFrame:
-    """Each left row with the last right row of the same keys at or before it (nulls without one).
+    """Each left row with the last right row of the same keys at or before it (nulls without one), compared in the columns' own type.  Of right rows at one place the greatest in the
+    order of their columns counts (so no column may be a map).
 
     One sort over the union of both sides within each key carries the last right row forward.  Without keys, or with a key that holds much of the data, give
     `buckets`, a width in units of the ordering column: rows are cut into buckets of that width, each a partition of its own, and what a bucket inherits from
@@ -28,16 +29,16 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     names = {c: f"{c}{suffix}" if c in taken else c for c in right.columns if c not in by}
     payload = F.struct(*(F.col(c).alias(n) for c, n in names.items()))
     keep = F.struct(*(F.col(c) for c in left.columns))
-    a = left.select(*by, F.col(left_on).cast("double").alias("_at"), F.lit(1).alias("_side"), keep.alias("_left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"))
-    b = right.select(*by, F.col(right_on).cast("double").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), payload.alias("_right"))
+    a = left.select(*by, F.col(left_on).alias("_at"), F.lit(1).alias("_side"), keep.alias("_left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"))
+    b = right.select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), payload.alias("_right"))
     both = a.unionByName(b)
-    order = [F.col("_at"), F.col("_side")]
+    order = [F.col("_at"), F.col("_side"), F.col("_right")]
     if buckets is None:
         w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         found = F.last("_right", ignorenulls=True).over(w)
         return both.withColumn("_found", found).where("_side = 1").select("_left.*", *(F.col(f"_found.{n}").alias(n) for n in names.values()))
-    both = both.withColumn("_bucket", F.floor(F.col("_at") / buckets))
-    last = both.where("_side = 0").groupBy(*by, "_bucket").agg(F.max_by("_right", "_at").alias("_carry"))
+    both = both.withColumn("_bucket", F.floor(F.col("_at").cast("double") / buckets))
+    last = both.where("_side = 0").groupBy(*by, "_bucket").agg(F.max(F.struct("_at", "_right"))["_right"].alias("_carry"))
     every = met(both.select(*by, "_bucket").distinct(), last, [*by, "_bucket"])
     w = (Window.partitionBy(*by) if by else Window).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.withColumn("_before", F.last("_carry", ignorenulls=True).over(w)).drop("_carry")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import api
-from .codecs import las
+from .codecs import las, tiff
 from .functions import io
 from .session import scratch
 from .sinks import files
@@ -91,11 +93,20 @@ def csv_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.plan(spark, "csv", path, num_chunks=7)
 
 
-@query("SELECT count(*) AS slices, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 1 AS g, count(*) AS n FROM orders) JOIN range(25) r(i) ON i = 0 OR n < 0 GROUP BY g")
+KEY_LINE = "strlen(CAST(o_orderkey AS VARCHAR)) + strlen(CAST(o_custkey AS VARCHAR)) + strlen(o_orderstatus) + 3"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, 13 + sum({KEY_LINE}) OVER (ORDER BY o_orderkey) - ({KEY_LINE}) AS pos, 13 + sum({KEY_LINE}) OVER () AS size FROM orders)
+SELECT CAST(pos // CAST(ceil(size / 25.0) AS BIGINT) AS INTEGER) AS slice_id, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM o GROUP BY 1"""
+)
 def csv_slices_as_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows counted slice by slice in pandas, then summed: one total."""
-    per = api.map_slices(api.read(spark, "csv", orders_csv(spark, sf_dir), num_chunks=25), lambda d: d.groupby("_slice_id").size().reset_index(name="n"), "_slice_id int, n long")
-    return per.agg(F.lit(1).cast("long").alias("slices"), F.sum("n").alias("n"))
+    """A row for each slice, worked out by a pandas function: a row of the file belongs to the slice that holds its first byte."""
+    d = table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    path = files.write_lines(d.select(files.csv_line("o_orderkey", "o_custkey", "o_orderstatus").alias("value")), f"{scratch(spark, 'csv')}/keys.csv", header="key,cust,sta\n")
+    api.build_index(spark, "csv", path)
+    one = lambda p: p.groupby("_slice_id")["key"].agg(n="size", first_key="min", last_key="max").reset_index(names="slice_id")
+    return api.map_slices(api.read(spark, "csv", path, num_chunks=25), one, "slice_id int, n long, first_key long, last_key long")
 
 
 # words --------------------------------------------------------------------------------------------------------------------------------
@@ -213,14 +224,18 @@ VCF_HEADER = (
 )
 
 
-def events_vcf(spark: SparkSession, sf_dir: str) -> str:
+def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
     value = F.concat_ws(
         "\t", F.concat(F.lit("chr"), (F.col("user_id") % 5).cast("string")), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.lit(".")).otherwise(F.concat(F.lit("rs"), user)), F.lit("A"), F.when(F.col("event_id") % 2 == 0, F.lit("C,G")).otherwise(F.lit("T")),
         F.when(F.col("event_id") % 7 == 0, F.lit(".")).otherwise((F.col("event_id") % 100).cast("string")), F.lit("PASS"), F.concat(F.lit("UT="), F.col("event_type"), F.lit(";UI="), user, F.lit(";DB")), F.lit("GT:GQ"), F.concat(F.lit("0/1:"), user), F.lit("./."),
     )
-    path = files.write_lines(d.select(value.alias("value")), f"{scratch(spark, 'vcf')}/events.vcf", header=VCF_HEADER)
+    return d.select(value.alias("value"))
+
+
+def events_vcf(spark: SparkSession, sf_dir: str) -> str:
+    path = files.write_lines(vcf_lines(spark, sf_dir), f"{scratch(spark, 'vcf')}/events.vcf", header=VCF_HEADER)
     api.build_index(spark, "vcf", path)
     return path
 
@@ -328,11 +343,15 @@ def las_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT CAST(i * 3 + j AS INTEGER) AS slice_id, x0 + (x1 - x0) / 3 * i AS min_x, y0 + (y1 - y0) / 3 * j AS min_y FROM b, range(3) r(i), range(3) q(j)"
 )
 def copc_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.plan(spark, "copc", events_copc(spark, sf_dir), num_chunks=9).select("slice_id", "min_x", "min_y")
+
+
+def events_copc(spark: SparkSession, sf_dir: str) -> str:
     e = table(spark, sf_dir, "events").agg(F.min(F.floor("value")), F.max(F.floor("value")), F.min("user_id"), F.max("user_id"), F.count("*")).first()
     path = f"{scratch(spark, 'copc')}/events.copc.laz"
     io.write_bytes(path, copc_header(*(float(v) for v in e[:4]), int(e[4])))
     api.build_index(spark, "copc", path)
-    return api.plan(spark, "copc", path, num_chunks=9).select("slice_id", "min_x", "min_y")
+    return path
 
 
 def copc_header(x0: float, x1: float, y0: float, y1: float, points: int) -> bytes:
@@ -427,18 +446,182 @@ def ms_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("row", F.col("TIME").alias("time"), F.col("DATA")[0].cast("double").alias("v"), F.col("ANTENNA").cast("long").alias("antenna"), F.col("FLAG")[1].alias("flag"))
 
 
+@query("SELECT 'events.ms' AS ms_name, count(*) AS total_rows, CAST(least(7, count(*)) AS BIGINT) AS rows_per_time, 'TIME,DATA,FLAG,ANTENNA' AS columns, '8,8,1,4' AS block_sizes, 'SPECTRAL_WINDOW' AS static FROM events")
+def ms_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = api.attributes(spark, "ms", events_ms(spark, sf_dir))
+    files_ = lambda f: F.array_join(F.transform("mutable_files", f), ",")
+    return a.select("ms_name", "total_rows", "rows_per_time", files_(lambda m: F.replace(m["file_name"], F.lit(".bin"), F.lit(""))).alias("columns"), files_(lambda m: m["block_size"].cast("string")).alias("block_sizes"), F.array_join("static_columns", ",").alias("static"))
+
+
+@query(
+    f"""WITH t AS (SELECT count(*) AS total, count(*) // {PER_TIME} AS times FROM events), n AS (SELECT total, times, least(5, times) AS n FROM t),
+b AS (SELECT i, total, n, {PER_TIME} * (i * (times // n) + least(i, times % n)) AS a, {PER_TIME} * ((i + 1) * (times // n) + least(i + 1, times % n)) AS z FROM n, range(5) r(i) WHERE i < n),
+e AS (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events)
+SELECT CAST(i AS INTEGER) AS slice_id, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS antennas FROM b JOIN e ON r >= a AND (r < z OR i = n - 1) GROUP BY ALL"""
+)
+def ms_slices_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices written as folders by the tasks, each then indexed and read as a set of its own."""
+    made = api.write_folders(spark, "ms", events_ms(spark, sf_dir), scratch(spark, "ms-slices"), num_chunks=5).collect()
+    for r in made:
+        api.build_index(spark, "ms", r.path)
+    parts = [api.read(spark, "ms", r.path, num_chunks=1).select(F.lit(r.slice_id).cast("int").alias("slice_id"), "ANTENNA") for r in made]
+    return reduce(DataFrame.unionByName, parts).groupBy("slice_id").agg(F.count("*").alias("n"), F.sum("ANTENNA").alias("antennas"))
+
+
+# attributes and plans of the other formats --------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS num_sequences FROM documents")
+def fasta_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.attributes(spark, "fasta", documents_fasta(spark, sf_dir))
+
+
+@query(
+    """SELECT [CAST(min(floor(value)) AS DOUBLE), CAST(min(user_id) AS DOUBLE), CAST(min(event_id % 1000) AS DOUBLE)] AS mins,
+[CAST(max(floor(value)) AS DOUBLE), CAST(max(user_id) AS DOUBLE), CAST(max(event_id % 1000) AS DOUBLE)] AS maxs, count(*) AS point_count, CAST(20 AS INTEGER) AS point_format_size, CAST(227 AS BIGINT) AS offset_to_point_data FROM events"""
+)
+def las_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.attributes(spark, "las", events_las(spark, sf_dir))
+
+
+@query(
+    """SELECT count(*) AS points, 1.0::DOUBLE AS x_scale, 0.0::DOUBLE AS x_offset, CAST(max(floor(value)) AS DOUBLE) AS x_max, CAST(min(floor(value)) AS DOUBLE) AS x_min,
+1.0::DOUBLE AS y_scale, 0.0::DOUBLE AS y_offset, CAST(max(user_id) AS DOUBLE) AS y_max, CAST(min(user_id) AS DOUBLE) AS y_min,
+1.0::DOUBLE AS z_scale, 0.0::DOUBLE AS z_offset, 0.0::DOUBLE AS z_max, 0.0::DOUBLE AS z_min, CAST(589 AS BIGINT) AS root_offset, CAST(32 AS BIGINT) AS root_size FROM events"""
+)
+def copc_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.attributes(spark, "copc", events_copc(spark, sf_dir))
+
+
+@query("SELECT false AS is_continuous, 'd' AS mz_precision, 'f' AS int_precision, CAST(8 AS INTEGER) AS mz_size, CAST(4 AS INTEGER) AS int_size, count(*) AS num_spectra FROM embeddings")
+def imzml_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.attributes(spark, "imzml", embeddings_imzml(spark, sf_dir, False))
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, 4 * len(embedding) AS b, first(8 * len(embedding)) OVER (ORDER BY vec_id) AS shared FROM embeddings),
+p(i, cur, k) AS (SELECT i, shared + b, 0 FROM s WHERE i = 0 UNION ALL SELECT s.i, CASE WHEN p.cur + s.b > 20000 THEN s.shared + s.b ELSE p.cur + s.b END, p.k + CASE WHEN p.cur + s.b > 20000 THEN 1 ELSE 0 END FROM p JOIN s ON s.i = p.i + 1)
+SELECT CAST(k AS INTEGER) AS slice_id, CAST(min(i) AS BIGINT) AS spectrum_start, CAST(max(i) + 1 AS BIGINT) AS spectrum_end FROM p GROUP BY k"""
+)
+def imzml_continuous_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.plan(spark, "imzml", embeddings_imzml(spark, sf_dir, True), chunk_size=20_000).select("slice_id", "spectrum_start", "spectrum_end")
+
+
+@query("SELECT CAST((r - 1) // CAST(ceil(t / 9.0) AS BIGINT) AS INTEGER) AS slice_id, count(*) AS n, min(r) AS first_line, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r, count(*) OVER () AS t FROM events) GROUP BY 1")
+def gzip_num_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_report(api.read(spark, "gzip", events_gzip(spark, sf_dir), num_chunks=9))
+
+
+@query("SELECT CAST(i AS INTEGER) AS slice_id, CAST(997 * i + 1 AS BIGINT) AS line_0, CAST(least(997 * (i + 1), t) + 1 AS BIGINT) AS line_1 FROM (SELECT count(*) AS t FROM events), range(100000) r(i) WHERE 997 * i < t")
+def gzip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.plan(spark, "gzip", events_gzip(spark, sf_dir), "chunk_lines", lines_per_chunk=997).select("slice_id", "line_0", "line_1")
+
+
+@query(READS.format("least((r - 1) // 77, CASE WHEN t % 77 <> 0 THEN greatest(ceil(t / 77.0) - 2, 0) ELSE t END)"))
+def fastq_seqs_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = api.read(spark, "fastq", part_fastq(spark, sf_dir), "sequences_per_chunk", seq_per_chunk=77, rest="merge")
+    return d.select("read_no", "id", "seq", "qual", F.col("_slice_id").alias("slice_id"))
+
+
+@query(
+    """WITH s AS (SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents), c AS (SELECT size, CAST(ceil(size / 64.0) AS BIGINT) AS cs FROM s)
+SELECT CAST(i AS INTEGER) AS slice_id, least(cs * i, size) AS "start", least(cs * (i + 1), size) AS "end" FROM c, range(64) r(i)"""
+)
+def text_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.write_lines(table(spark, sf_dir, "documents").select(F.col("text").alias("value")), f"{scratch(spark, 'text')}/documents.txt")
+    return api.plan(spark, "text", path, num_chunks=64)
+
+
+VCF_LINE = """'chr' || (user_id % 5) || '.' || event_id || '.' || CASE WHEN event_id % 3 = 0 THEN '.' ELSE 'rs' || user_id END || '.A.' || CASE WHEN event_id % 2 = 0 THEN 'C,G' ELSE 'T' END || '.' ||
+CASE WHEN event_id % 7 = 0 THEN '.' ELSE CAST(event_id % 100 AS VARCHAR) END || '.PASS.UT=' || event_type || ';UI=' || user_id || ';DB.GT:GQ.0/1:' || user_id || '../.' || '.'"""
+
+
+@query(
+    f"""WITH s AS (SELECT CAST(sum(strlen({VCF_LINE})) AS BIGINT) AS body, CAST({len(VCF_HEADER.encode())} AS BIGINT) AS base FROM events), c AS (SELECT *, CAST(ceil(body / 40.0) AS BIGINT) AS cs FROM s)
+SELECT CAST(i AS INTEGER) AS slice_id, base + least(cs * i, body) AS "start", base + least(cs * (i + 1), body) AS "end" FROM c, range(40) r(i)"""
+)
+def vcf_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.plan(spark, "vcf", events_vcf(spark, sf_dir), num_chunks=40)
+
+
+@query(ORACLE_SQL["vcf_records"])
+def vcf_gz_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.write_lines(vcf_lines(spark, sf_dir), f"{scratch(spark, 'vcf')}/events.vcf.gz", header=VCF_HEADER, compress=True)
+    api.build_index(spark, "vcf_gz", path, span=1 << 16)
+    d = api.read(spark, "vcf_gz", path, num_chunks=12)
+    return d.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"), F.col("ID").alias("id"), F.array_join("ALT", "/").alias("alt"), F.col("QUAL").alias("qual"), F.col("samples")["S1"].alias("s1"))
+
+
+@query(GRID + "SELECT CAST(i * 2 + j AS INTEGER) AS slice_id, count(*) AS n, CAST(min(x) AS DOUBLE) AS min_x, CAST(max(y) AS DOUBLE) AS max_y, CAST(max(z) AS DOUBLE) AS max_z FROM p JOIN g ON x >= a AND (x < c OR i = 2) AND y >= d AND (y < e OR j = 1) GROUP BY ALL")
+def las_slices_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles as LAS files of their own; their headers tell what is in them."""
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [las.header(d.as_py()) for d in b.column(1)]
+            values = ([h["point_count"] for h in found], [h["mins"][0] for h in found], [h["maxs"][1] for h in found], [h["maxs"][2] for h in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64() if i else pa.int64()) for i, v in enumerate(values))], ["slice_id", "n", "min_x", "max_y", "max_z"])
+
+    made = api.slices(spark, "las", events_las(spark, sf_dir), num_chunks=7)
+    return made.mapInArrow(headers, "slice_id int, n long, min_x double, max_y double, max_z double").where("n > 0")
+
+
+@query(
+    ORACLE_SQL["cog_windows"].replace("SELECT CAST(a.i * 4", "SELECT 500000.0::DOUBLE + 10 * b.co AS x_origin, 4000000.0::DOUBLE - 10 * a.ro AS y_origin, CAST(a.i * 4").replace("a.i AS block_x, b.i AS block_y, a.ro AS row_off, b.co AS col_off, ", "")
+)
+def cog_slices_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as TIFF files of their own, with the transform moved to their corners."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [tiff.attributes(tiff.directory(lambda n, at, d=d.as_py(): d[at : at + n])) for d in b.column(1)]
+            columns = [pa.array([f["transform"][2] for f in found], pa.float64()), pa.array([f["transform"][5] for f in found], pa.float64()), *(pa.array([f[k] for f in found], pa.int64()) for k in ("height", "width"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["slice_id", "x_origin", "y_origin", "height", "width"])
+
+    return api.slices(spark, "cog", events_tiff(spark, sf_dir), n_splits=4).mapInArrow(read, "slice_id int, x_origin double, y_origin double, height long, width long")
+
+
 # the framework ------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+#: What each format promises: attributes with their types, strategies, and whether an object is a folder.
+PROMISED = """
+csv|columns array<string>, dtypes array<string>|chunk_size, num_chunks|false
+text||whole_words|false
+gzip|total_lines bigint, index_key string|chunk_lines, num_chunks|false
+fastq|total_lines bigint, index_key string|chunk_lines, num_chunks, reads_batches, sequences_per_chunk|false
+fasta|num_sequences bigint|num_chunks|false
+vcf|columns array<string>, scalars map<string;string>, structured map<string;array<map<string;string>>>, body_offset bigint|num_chunks|false
+vcf_gz|total_lines bigint, index_key string, columns array<string>, scalars map<string;string>, structured map<string;array<map<string;string>>>, body_offset bigint|chunk_lines, num_chunks|false
+las|mins array<double>, maxs array<double>, point_count bigint, point_format_size int, offset_to_point_data bigint|square_split|false
+copc|points bigint, x_scale double, x_offset double, x_max double, x_min double, y_scale double, y_offset double, y_max double, y_min double, z_scale double, z_offset double, z_max double, z_min double, root_offset bigint, root_size bigint|square_split|false
+cog|width bigint, height bigint, crs string, bounds struct<left:double;bottom:double;right:double;top:double>, transform array<double>|grid|false
+imzml|is_continuous boolean, mz_precision string, int_precision string, mz_size int, int_size int, num_spectra bigint|chunk_size|false
+ms|ms_name string, total_rows bigint, rows_per_time bigint, mutable_files array<struct<file_name:string;real_size:bigint;bucketsize:bigint;block_size:bigint>>, static_columns array<string>|timestamps|true
+"""
+
+
+def promised() -> str:
+    """PROMISED as SQL, a row for each attribute."""
+    rows = []
+    for line in PROMISED.strip().splitlines():
+        name, attributes, strategies, folder = line.split("|")
+        for a in attributes.split(", ") if attributes else [""]:
+            key, _, kind = a.partition(" ")
+            shown = [f"'{v}'" if v else "NULL" for v in (key, kind.replace(";", ","))]
+            rows.append(f"('{name}', {shown[0]}, {shown[1]}, [{', '.join(repr(x) for x in strategies.split(', '))}], {folder})")
+    return f'SELECT * FROM (VALUES {", ".join(rows)}) t("format", attribute, "type", strategies, folder)'
+
+
+@query(promised())
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.describe_format(spark)
+    return api.describe_format(spark).where(F.col("format").isin([line.split("|")[0] for line in PROMISED.strip().splitlines()]))
 
 
-@query("SELECT count(*) AS rows, CAST(count(*) * 4 + sum(strlen(CAST(p_partkey AS VARCHAR)) + strlen(p_name) + strlen(p_brand) + 2) AS BIGINT) AS bytes FROM part")
+@query("SELECT count(*) AS rows, CAST(count(*) * 4 + sum(strlen(CAST(p_partkey AS VARCHAR)) + strlen(p_name) + strlen(p_brand) + 2) AS BIGINT) AS bytes, CAST(least(9, count(*)) AS BIGINT) AS files FROM part")
 def fastq_slices_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices written as files by the tasks: together they hold the text, byte for byte."""
-    path = part_fastq(spark, sf_dir)
-    made = api.write_slices(api.slices(spark, "fastq", path, num_batches=9), f"{scratch(spark, 'slices')}", ".fastq")
-    reads = api.build_index(spark, "fastq", path).attributes["total_lines"] // 4  # built already: read off the manifest
-    return made.agg(F.lit(reads).cast("long").alias("rows"), F.sum("bytes").alias("bytes"))
+    """Slices written as files by the tasks: together they hold the reads, byte for byte."""
+    folder = scratch(spark, "slices")
+    made = api.write_slices(api.slices(spark, "fastq", part_fastq(spark, sf_dir), num_batches=9), folder, ".fastq").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("files")).collect()[0]
+    lines = spark.read.text(f"{folder}/*.fastq")
+    return lines.agg((F.count("*") / 4).cast("long").alias("rows"), F.lit(made.bytes).cast("long").alias("bytes"), F.lit(made.files).cast("long").alias("files"))

@@ -18,13 +18,13 @@ DEFAULT_CHUNK = 64 << 20
 LOOK, MARK = 1 << 16, 1 << 20
 
 
-def headers(path: str, size: int, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(start, end) of the headers that start in [start, end), where end is behind the line end, which is read on for; and for each MARK bytes of the range (start, line end bytes in them)."""
+def headers(path: str, size: int, start: int, end: int, mark: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the headers that start in [start, end), where end is behind the line end, which is read on for; and for each `mark` bytes of the range (start, line end bytes in them)."""
     out = []
     with io.opened(path) as f:
         before = f.read_at(1, start - 1) if start else b"\n"
         data = f.read_at(end - start, start)
-        marks = [(start + i, data.count(b"\n", i, i + MARK) + data.count(b"\r", i, i + MARK)) for i in range(0, len(data), MARK)]
+        marks = [(start + i, data.count(b"\n", i, i + mark) + data.count(b"\r", i, i + mark)) for i in range(0, len(data), mark)]
         stop = end
         while stop < size and data.rfind(b">") > data.rfind(b"\n"):  # a last line that may be a header's beginning
             more = f.read_at(min(LOOK, size - stop), stop)
@@ -37,8 +37,8 @@ def headers(path: str, size: int, start: int, end: int) -> tuple[list[tuple[int,
 
 
 def line_ends(manifest: Manifest, f, position: int) -> int:
-    """Line end bytes before a position: the sum up to the mark before it, and a count of the bytes since, MARK at most."""
-    t = manifest.table("marks", ["at", "before"], [("at", "<=", position), ("at", ">", position - MARK)])
+    """Line end bytes before a position: the sum up to the mark before it, and a count of the bytes since, those between two marks at most."""
+    t = manifest.table("marks", ["at", "before"], [("at", "<=", position), ("at", ">", position - manifest.attributes["mark"])])
     if not t.num_rows:
         return 0
     at, before = max(zip(t.column("at").to_pylist(), t.column("before").to_pylist()))
@@ -60,14 +60,14 @@ class Fasta(Format):
     strategies = {"num_chunks": plan}
     default = "num_chunks"
 
-    def build(self, spark, path, size, chunk_size=None, **extra):
+    def build(self, spark, path, size, chunk_size=None, mark=MARK, **extra):
         cs = chunk_size or DEFAULT_CHUNK
         n = max(1, -(-size // cs))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in b.column(0).to_pylist():
-                    found, marks = headers(path, size, i * cs, min(size, (i + 1) * cs))
+                    found, marks = headers(path, size, i * cs, min(size, (i + 1) * cs), mark)
                     rows = [(i, True, a, z) for a, z in found] + [(i, False, a, n) for a, n in marks]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], ["chunk", "header", "a", "b"])
 
@@ -80,8 +80,8 @@ class Fasta(Format):
         before = counts.select("chunk", (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("before"))
         within = F.row_number().over(Window.partitionBy("chunk").orderBy("id_offset"))
         index = heads.withColumn("within", within).join(F.broadcast(before), "chunk").select((F.col("before") + F.col("within") - 1).alias("ordinal"), "id_offset", "seq_offset")
-        marks = rows.where("NOT header").select(F.col("a").alias("at"), (F.sum("b").over(Window.orderBy("a")) - F.col("b")).alias("before"))  # a row for each MARK bytes
-        return lambda read: {"num_sequences": read("headers").count()}, {"headers": index, "marks": marks}
+        marks = rows.where("NOT header").select(F.col("a").alias("at"), (F.sum("b").over(Window.orderBy("a")) - F.col("b")).alias("before"))  # a row for each `mark` bytes
+        return lambda read: {"num_sequences": read("headers").count(), "mark": mark}, {"headers": index, "marks": marks}
 
     def schema(self, manifest, options):
         return "chunk_id int, seq_id string, description string, seq_offset long, sequence string, is_continuation boolean"
