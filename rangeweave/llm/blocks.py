@@ -11,7 +11,7 @@ travel in packed arrays:
    with an array aligned to the row's keys.
 3. `gather`: the answers of a batch and its payload meet in one group.
 
-A bucket's size is the distinct keys of its range times the batches that hold them, whatever single keys are like; `bucket_count`
+Keys travel as the steps between them, and all numbers byte by byte and compressed (`squeeze`).  A bucket's size is the distinct keys of its range times the batches that hold them, whatever single keys are like; `bucket_count`
 sets it from the size of the input.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 ROW = "batch long, bucket int, keys binary, vals binary"
@@ -50,12 +51,29 @@ def edges(buckets: int, bits: int = 64) -> np.ndarray:
     return np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], np.uint64)
 
 
+def squeeze(raw: bytes, width: int) -> bytes:
+    """Numbers of so many bytes each, byte by byte and compressed."""
+    return bytes([width]) + zstandard.compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def expand(data: bytes) -> bytes:
+    return np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1).T.tobytes()
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).tobytes(), 8)
+
+
+def expanded_keys(data: bytes) -> bytes:
+    return np.cumsum(np.frombuffer(expand(data), np.uint64), dtype=np.uint64).tobytes()
+
+
 def rows(batch: int, payload: bytes, keys: np.ndarray, vals: np.ndarray, buckets: int) -> pa.RecordBatch:
     """keys: sorted distinct uint64; vals: aligned with them, of any type."""
     cut = [0, *np.searchsorted(keys, edges(buckets)).tolist(), len(keys)]
     full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    parts = [np.ascontiguousarray(keys[cut[b] : cut[b + 1]]).tobytes() for b in full]
-    held = [np.ascontiguousarray(vals[cut[b] : cut[b + 1]]).tobytes() for b in full]
+    parts = [squeezed_keys(keys[cut[b] : cut[b + 1]]) for b in full]
+    held = [squeeze(vals[cut[b] : cut[b + 1]].tobytes(), vals.dtype.itemsize) for b in full]
     return pa.RecordBatch.from_arrays([pa.array([batch] * (len(full) + 1), pa.int64()), pa.array([PAYLOAD, *full], pa.int32()), pa.array([b"", *parts], pa.binary()), pa.array([payload, *held], pa.binary())], NAMES)
 
 
@@ -63,15 +81,13 @@ def payloads(scattered: DataFrame) -> DataFrame:
     return scattered.where(F.col("bucket") == PAYLOAD)
 
 
-def reduce_keys(scattered: DataFrame, answer: Callable[[list[bytes], list[bytes]], list[bytes]], extra: Callable[[list[bytes], list[bytes]], bytes] | None = None) -> DataFrame:
-    """For each bucket: answer(keys of its rows, vals of its rows) -> one array for each row, in column vals.  extra adds a row of batch -1 with what it makes of the bucket."""
+def reduce_keys(scattered: DataFrame, answer: Callable[[list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
+    """For each bucket: answer(keys of its rows, vals of its rows) -> one array for each row, in column vals."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys, vals = t.column("keys").to_pylist(), t.column("vals").to_pylist()
-        batch, bucket, out = t.column("batch").to_pylist(), t.column("bucket").to_pylist(), answer(keys, vals)
-        if extra:
-            batch, bucket, out = [*batch, -1], [*bucket, bucket[0]], [*out, extra(keys, vals)]
-        return pa.table([pa.array(batch, pa.int64()), pa.array(bucket, pa.int32()), pa.nulls(len(batch), pa.binary()), pa.array(out, pa.binary())], NAMES)
+        keys, vals = [expanded_keys(k) for k in t.column("keys").to_pylist()], [expand(v) for v in t.column("vals").to_pylist()]
+        out = [squeeze(v, 8 * len(v) // len(k)) for k, v in zip(keys, answer(keys, vals))]
+        return pa.table([t.column("batch"), t.column("bucket"), pa.nulls(len(out), pa.binary()), pa.array(out, pa.binary())], NAMES)
 
     return scattered.where(F.col("bucket") != PAYLOAD).groupBy("bucket").applyInArrow(run, ROW)
 
@@ -82,9 +98,9 @@ def gather(scattered: DataFrame, answers: DataFrame, finish: Callable[[bytes, by
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("bucket").to_numpy(), kind="stable")  # the payload comes first
         vals = t.column("vals")
-        return finish(vals[int(order[0])].as_py(), b"".join(vals[int(i)].as_py() for i in order[1:]))
+        return finish(vals[int(order[0])].as_py(), b"".join(expand(vals[int(i)].as_py()) for i in order[1:]))
 
-    both = payloads(scattered).select("batch", "bucket", "vals").unionByName(answers.where(F.col("batch") >= 0).select("batch", "bucket", "vals"))
+    both = payloads(scattered).select("batch", "bucket", "vals").unionByName(answers.select("batch", "bucket", "vals"))
     return both.groupBy("batch").applyInArrow(run, schema)
 
 

@@ -3,7 +3,7 @@
 A gear rolling hash runs over the bytes of each text: h = (h << 1) + GEAR[byte], so that the lowest 16 bits depend on the last 16 bytes
 only.  A chunk ends behind a white-space byte (or, in text without any, at a character) where the hash meets a condition, so boundaries
 follow the content: an insertion shifts the chunks beside it and no others.  From each chunk the shortest run of whole chunks with
-MIN_WORDS words or more is a group, known by the digest of its chunks in their order.  The document with the smallest doc_id that holds a
+MIN_WORDS words or more is a group, known by the digest of its chunks in their order: 96 bits, since text is deleted on it.  The document with the smallest doc_id that holds a
 group keeps it; elsewhere the group is cut from the text.  So whatever is cut stands, in one piece of MIN_WORDS words or more, in one
 earlier document; chunks that earlier documents hold here and there are common phrases and stay.  At either end of a repeated passage
 less than two chunks stay.
@@ -40,7 +40,9 @@ NO_ID = -(1 << 63)
 
 #: Groups are numbers in base MULTIPLY (odd, so that it has an inverse) modulo 2**64, their chunks' digests the figures.
 MULTIPLY = 0x9E3779B97F4A7C15
-INVERSE = pow(MULTIPLY, -1, 1 << 64)
+#: The same with another base makes the digest's further 32 bits.
+AGAIN = 0xC2B2AE3D27D4EB4F
+OWNER = np.dtype([("id", "<i8"), ("check", "<u4")])
 
 _rng = random.Random(20240229)
 GEAR = np.array([0] + [_rng.getrandbits(32) for _ in range(255)], np.uint32)
@@ -94,25 +96,41 @@ def groups(text: bytes, ends: np.ndarray, min_words: int) -> np.ndarray:
     return stop[stop <= len(ends)]
 
 
-def group_digests(found: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def group_digests(found: np.ndarray, stop: np.ndarray, base: int = MULTIPLY) -> np.ndarray:
     """Digests of the groups, from those of the chunks."""
     n, m = len(found), len(stop)
     if not m:
         return np.empty(0, np.uint64)
     power = lambda base, k: np.cumprod(np.append(np.uint64(1), np.full(k - 1, base, np.uint64)))
-    total = np.append(np.uint64(0), np.cumsum(found * power(MULTIPLY, n)))
-    h = (total[stop] - total[:m]) * power(INVERSE, m)
+    total = np.append(np.uint64(0), np.cumsum(found * power(base, n)))
+    h = (total[stop] - total[:m]) * power(pow(base, -1, 1 << 64), m)
     h += (stop - np.arange(m)).astype(np.uint64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def batch_digests(texts: list, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray]]:
-    """For each text its bytes, the ends of its chunks and the digests of its groups."""
+def batch_digests(texts: list, min_words: int = MIN_WORDS) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each text its bytes, the ends of its chunks, and the digests of its groups: 64 bits, and 32 more."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     ends = chunks(raw)
-    return raw, ends, [group_digests(digests(t, e), groups(t, e, min_words)) for t, e in zip(raw, ends)]
+    found = [(digests(t, e), groups(t, e, min_words)) for t, e in zip(raw, ends)]
+    return raw, ends, [group_digests(*f) for f in found], [(group_digests(*f, AGAIN) >> np.uint64(32)).astype(np.uint32) for f in found]
+
+
+def flat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def owners(keys: list[bytes], vals: list[bytes]) -> list[bytes]:
+    """The answer of each group's smallest id; a group is its key and its check."""
+    key, val = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(vals), OWNER)
+    order = np.lexsort((val["id"], val["check"], key))
+    k, v = key[order], val[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (v["check"][1:] != v["check"][:-1])])
+    out = np.empty(len(v), np.int64)
+    out[order] = v["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return blocks.deal(out, np.cumsum([len(x) >> 3 for x in keys]).tolist())
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -146,12 +164,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = ids_of(batch.column(id_at))
-            _, _, found = batch_digests(batch.column(text_at).to_pylist(), min_words)
-            flat = np.concatenate(found) if found else np.empty(0, np.uint64)
-            keys, place = np.unique(flat, return_inverse=True)
-            least = np.full(len(keys), np.iinfo(np.int64).max)
-            np.minimum.at(least, place, np.repeat(ids, [len(f) for f in found]))
-            yield blocks.rows(number, packed(batch), keys, least, buckets)
+            _, _, found, checks = batch_digests(batch.column(text_at).to_pylist(), min_words)
+            check = flat(checks, np.uint32)
+            keys, first, place = np.unique(flat(found, np.uint64), return_index=True, return_inverse=True)
+            own = np.empty(len(keys), OWNER)
+            own["check"], own["id"] = check[first], np.iinfo(np.int64).max
+            same = check == own["check"][place]  # of two groups of one key in a batch the first is asked for; the other stays
+            np.minimum.at(own["id"], place[same], np.repeat(ids, [len(f) for f in found])[same])
+            yield blocks.rows(number, packed(batch), keys, own, buckets)
             number += 1
 
     new = [StructField(fresh(docs, k), t) for k, t in (("n_chunks", IntegerType()), ("n_cut", IntegerType()), ("cut_bytes", LongType()), ("kept_by", ArrayType(LongType())))]
@@ -162,13 +182,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         batch = t.to_batches()[0] if t.num_rows else None
         texts = batch.column(text_at).to_pylist() if batch else []
         ids = ids_of(batch.column(id_at)) if batch else []
-        raw, ends, found = batch_digests(texts, min_words)
-        keys = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        owner = np.frombuffer(answers, np.int64)
+        raw, ends, found, checks = batch_digests(texts, min_words)
+        keys, first = np.unique(flat(found, np.uint64), return_index=True)
+        asked, owner = flat(checks, np.uint32)[first], np.frombuffer(answers, np.int64)
         n_chunks, n_cut, size, kept_by = [], [], [], []
-        for i, (text, data, e, f) in enumerate(zip(texts, raw, ends, found)):
-            own = owner[np.searchsorted(keys, f)]
-            other = own != ids[i]
+        for i, (data, e, f, c) in enumerate(zip(raw, ends, found, checks)):
+            at_key = np.searchsorted(keys, f)
+            own = owner[at_key]
+            other = (own != ids[i]) & (asked[at_key] == c)
             spans = cut_runs(data, e, other, min_words)
             n_chunks.append(len(e))
             n_cut.append(len(spans))
@@ -186,4 +207,4 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pa.table([*t.columns, *made], [*t.column_names, *(f.name for f in new)])
 
     scattered = materialize(docs.mapInArrow(scatter, blocks.ROW), "chunks", BATCH_ROWS)
-    return blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, schema)
+    return blocks.gather(scattered, blocks.reduce_keys(scattered, owners), finish, schema)

@@ -53,7 +53,7 @@ def test_near_copies(kept):
 def test_substrings(kept):
     """Chunk by chunk in plain Python: the smallest id that holds a chunk keeps it."""
     before, after = kept["substrings"]
-    raw, ends, found = substrings.batch_digests(list(before.text))
+    raw, ends, found, _ = substrings.batch_digests(list(before.text))
     owner: dict = {}
     for i, f in zip(before.doc_id, found):
         for d in f.tolist():
