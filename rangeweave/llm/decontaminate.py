@@ -4,7 +4,7 @@ Benchmark items become windows of WINDOW consecutive normalised words (an item o
 anchor, its longest word; the distinct windows, by anchor, are the hash set that is sent to every task.  A set above BLOCK_BYTES is cut
 into blocks by a hash, and documents stream through once for each block: each word probes the anchors, and where one is met the words around
 it are compared with the whole window.  Only true hits leave that stage: neither texts nor words are shuffled, and a frequent anchor is met where it
-stands.  Hits find their documents by id and hash of the text: sent to every task up to MAX_HITS rows, by shuffle beyond.
+stands.  Hits find their documents by id and hash of the text: numbers alone, sent to every task up to MAX_HITS rows, by shuffle beyond.
 
 Defined results: a null text has no words; repeated rows (same id and text) get the same result each; a null id is an id of its own;
 a null item id is the empty text; items without words never occur; an empty benchmark leaves every document clean; other columns
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import fresh, materialize
 
 WINDOW = 10
-#: Bytes of the windows that are broadcast at once, as counted by `weight`, and rows of hits (of some 100 bytes).
-BLOCK_BYTES, MAX_HITS = 128 << 20, 1_000_000
+#: Bytes of the windows that are broadcast at once, as counted by `weight`, and rows of hits (of some 150 bytes; spans count as rows).
+BLOCK_BYTES, MAX_HITS = 128 << 20, 250_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: In the text as it is: a character between words, and a word with what stands before it.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -80,8 +80,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def beside(rows: DataFrame, found: DataFrame, same: Column, how: str) -> DataFrame:
-    """rows joined with the hits, which are sent to every task if they are few."""
-    return rows.join(F.broadcast(found) if found.count() <= MAX_HITS else found, same, how)
+    """rows joined with the hits, which are sent to every task if they are few; found has columns of fixed size, and spans at most."""
+    size = F.sum(F.size("spans") + 1 if "spans" in found.columns else F.lit(1))
+    return rows.join(F.broadcast(found) if (found.agg(size).first()[0] or 0) <= MAX_HITS else found, same, how)
 
 
 def covered(spans: Column) -> Column:
@@ -94,17 +95,11 @@ def covered(spans: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document: how many words and items are hit."""
     sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    found = hits(docs.select("doc_id", "text"), benchmark)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    found = hits(docs.select("doc_id", "text"), benchmark).select("hit_id", "hit_hash", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest(F.array_join("items", ",")).alias("items_sha256"))
     joined = beside(sized, found, (F.col("text_hash") == F.col("hit_hash")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
-    return joined.select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
-    )
+    none = F.lit(0).cast("long")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", digest(F.lit(""))).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
@@ -118,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         gone = found.select(F.col("hit_id").alias(fresh(keyed, "gone_id")), F.col("hit_hash").alias(fresh(keyed, "gone_hash")))
         (row_id, row_hash), (gone_id, gone_hash) = own, gone.columns
         return beside(keyed, gone, (F.col(row_hash) == F.col(gone_hash)) & F.col(row_id).eqNullSafe(F.col(gone_id)), "left_anti").drop(row_id, row_hash)
-    rows = docs.select(F.struct("*").alias("row"))
+    rows, found = docs.select(F.struct("*").alias("row")), found.drop("items")
     joined = beside(rows, found, (F.xxhash64("row.text") == F.col("hit_hash")) & F.col("row.doc_id").eqNullSafe(F.col("hit_id")), "left")
     whole = F.col("row.text")
     parts = F.regexp_extract_all(whole, F.lit(PART), 0)
