@@ -25,6 +25,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import give_back
+
 ROW = "batch long, bucket int, keys binary, vals binary"
 NAMES = ["batch", "bucket", "keys", "vals"]
 PAYLOAD = -1
@@ -85,6 +87,7 @@ def reduce_keys(scattered: DataFrame, answer: Callable[[list[bytes], list[bytes]
     """For each bucket: answer(keys of its rows, vals of its rows) -> one array for each row, in column vals."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         keys, vals = [expanded_keys(k) for k in t.column("keys").to_pylist()], [expand(v) for v in t.column("vals").to_pylist()]
         out = [squeeze(v, 8 * len(v) // len(k)) for k, v in zip(keys, answer(keys, vals))]
         return pa.table([t.column("batch"), t.column("bucket"), pa.nulls(len(out), pa.binary()), pa.array(out, pa.binary())], NAMES)
@@ -96,6 +99,7 @@ def gather(scattered: DataFrame, answers: DataFrame, finish: Callable[[bytes, by
     """finish(payload, the answers of all the batch's keys in the keys' order) -> rows."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         order = np.argsort(t.column("bucket").to_numpy(), kind="stable")  # the payload comes first
         vals = t.column("vals")
         return finish(vals[int(order[0])].as_py(), b"".join(expand(vals[int(i)].as_py()) for i in order[1:]))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -70,6 +71,23 @@ def release_part(t: DataFrame, by: str, value: int) -> None:
     fs.delete(jpath, True)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system.  Python workers live on from task to task, beside a JVM whose heap is full; what a task of one operator held would otherwise stay theirs while the next ones run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches that gives its memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, for maps whose result is handed on unwritten and so run under the caller's settings."""
     for b in batches:

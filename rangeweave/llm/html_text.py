@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .html_pages import MARK, labelled_pages
 
 PAGES, EPOCHS = 1200, 6
@@ -254,4 +254,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return picked.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import fold, materialize, release, release_part, settings
+from .common import fold, give_back, materialize, release, release_part, settings, tidy
 
 BATCH_ROWS = 2000
 ENDINGS, CLASSES, FEATURES, PLACE_BITS, ROUNDS = 1024, 16, 3, 14, 2
@@ -232,13 +232,14 @@ def prepare(docs: DataFrame, bits: int, buckets: int) -> DataFrame:
             yield as_batch([(FOLLOWING, -1, 0, pack([at.astype("<u4"), following[at]]))])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), FOLDS) == HELD).alias("held"))
-    return materialize(picked.mapInArrow(scatter, ROW), "lm-keys", BATCH_ROWS, by="part")
+    return materialize(picked.mapInArrow(tidy(scatter), ROW), "lm-keys", BATCH_ROWS, by="part")
 
 
 def answers(scattered: DataFrame, buckets: int) -> DataFrame:
     """Training counts of each batch's words and pairs over all batches; rows of part 2 sum tokens and distinct words by ending."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         bucket, batch = t.column("bucket")[0].as_py(), t.column("batch").to_pylist()
         word = bucket < buckets
         got = [unpack(d.as_py(), ("<u8", "<u4", "<u2") if word else ("<u8", "<u4")) for d in t.column("data")]
@@ -271,7 +272,7 @@ def sums(rows: DataFrame, kinds: tuple[str, ...], sparse: bool) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
     with settings(rows.sparkSession):
-        got = rows.select("data").mapInArrow(spread, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        got = rows.select("data").mapInArrow(tidy(spread), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(ENDINGS * ENDINGS if sparse else 2 * ENDINGS, np.int64)
     out[got["at"].to_numpy(int)] = got["n"].to_numpy(np.int64)
     return out
@@ -281,6 +282,7 @@ def complete(scattered: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
     """The batches with the counts of their words and pairs."""
 
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         order = np.argsort(np.where(t.column("part").to_numpy() == PAYLOAD, -1, t.column("bucket").to_numpy()), kind="stable").tolist()
         data = t.column("data")
         batch = Batch.load(data[order[0]].as_py())
@@ -360,7 +362,7 @@ def summed(batches: DataFrame, work: Callable[[Iterator[Batch]], np.ndarray], le
         return pa.table([t.column("part").slice(0, 1), t.column("lane").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names)
 
     with settings(batches.sparkSession, 4):
-        made = batches.mapInArrow(run, kind).groupBy("part", "lane").applyInArrow(add, kind)  # at most LANES rows for each part
+        made = batches.mapInArrow(tidy(run), kind).groupBy("part", "lane").applyInArrow(add, kind)  # at most LANES rows for each part
         got = made.groupBy("part").applyInArrow(add, kind).select("part", "data").collect()
     out = np.zeros(length)
     for part, data in got:
@@ -468,6 +470,6 @@ def fitted(docs: DataFrame) -> tuple[DataFrame, Model]:
             )
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = materialize(batches.mapInArrow(finish, kind), "lm-scores", 4)
+    out = materialize(batches.mapInArrow(tidy(finish), kind), "lm-scores", 4)
     release(batches)
     return out, model

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .common import fresh, materialize, release, settings
+from .common import fresh, give_back, materialize, release, settings, tidy
 from .graph import components
 
 WIDTH = 5
@@ -116,7 +116,7 @@ def exchange(docs: DataFrame, part_of, name: str, with_keys: bool) -> DataFrame:
             yield blocks.rows(number, payload, keys, count.astype("<u4"), buckets)
             number += 1
 
-    return materialize(docs.mapInArrow(scatter, blocks.ROW), name, BATCH_ROWS)
+    return materialize(docs.mapInArrow(tidy(scatter), blocks.ROW), name, BATCH_ROWS)
 
 
 KINDS = ["<i8", "u1", "<i8", "<i8", "<i8", "<u4", "<u8", "<i8"]
@@ -185,7 +185,7 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
         pairs = pairs[:, pairs[0] != pairs[1]]
         return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    scattered = materialize(sets.select("digest", "n", "shingles").mapInArrow(scatter, blocks.ROW), "rare", BATCH_ROWS)
+    scattered = materialize(sets.select("digest", "n", "shingles").mapInArrow(tidy(scatter), blocks.ROW), "rare", BATCH_ROWS)
     out = components(blocks.gather(scattered, blocks.reduce_keys(scattered, blocks.least), finish, "a long, b long"), "a", "b")
     release(scattered)
     return out
@@ -266,6 +266,7 @@ def links(sets: DataFrame, groups: DataFrame) -> tuple[DataFrame, bool]:
     own = own.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
     def product(t: pa.Table) -> pa.Table:
+        give_back()
         sig, n = t.column("digest").to_numpy(), t.column("n").to_numpy()
         order = np.argsort(sig, kind="stable")
         shingles = [np.frombuffer(t.column("shingles")[int(i)].as_py(), "<u8") for i in order]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, tidy
 from .tokens import encode_texts, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,7 +62,7 @@ def pack_documents(docs: DataFrame, context: int = 2048, end_id: int = 1, path:
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(pack, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return picked.mapInArrow(tidy(pack), SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

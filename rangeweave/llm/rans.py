@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import blocks
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import encode_texts, tokenizer_path
 
 SCALE, LANES, BLOCK, SEGMENT = 16, 2048, 1 << 18, 1 << 21
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> D
     # the text's hash cuts an id that very many rows share into several ranges
     order = ["doc_id", F.xxhash64("text")]
     ordered = picked.repartitionByRange(max(LEAST_RANGES, blocks.input_bytes(docs) // RANGE_BYTES), *order).sortWithinPartitions(*order)
-    return materialize(ordered.mapInArrow(encode, FILE), "rans")
+    return materialize(ordered.mapInArrow(tidy(encode), FILE), "rans")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -219,6 +219,6 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     totals = files.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    rows = files.select("part", "before", "docs", "absent", "lengths", "payload").mapInArrow(decode, "part long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "before", "docs", "absent", "lengths", "payload").mapInArrow(tidy(decode), "part long, doc_id long, within long, n_tokens long, ids_crc32 long")
     decoded = materialize(rows, "decoded", 2)  # rows of some megabytes: two at a time
     return decoded.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

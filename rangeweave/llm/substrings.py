@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from . import blocks
-from .common import fresh, materialize
+from .common import fresh, materialize, tidy
 
 MIN_WORDS = 30
 #: One white-space byte in SPARSE ends a chunk; elsewhere one byte in 4096.
@@ -206,5 +206,5 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         t = t.set_column(text_at, "text", pa.chunked_array([pa.array(texts, t.schema.field(text_at).type)]))
         return pa.table([*t.columns, *made], [*t.column_names, *(f.name for f in new)])
 
-    scattered = materialize(docs.mapInArrow(scatter, blocks.ROW), "chunks", BATCH_ROWS)
+    scattered = materialize(docs.mapInArrow(tidy(scatter), blocks.ROW), "chunks", BATCH_ROWS)
     return blocks.gather(scattered, blocks.reduce_keys(scattered, owners), finish, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, settings
+from .common import materialize, settings, tidy
 
 QUERIES, TILE, ROWS = 65536, 16384, 256
 #: Shares of the coordinates that stand alone, from coarse to fine.
@@ -111,7 +111,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     row = (query, int(on.sum()), x.shape[1], form, ids[on].tobytes(), x[on].astype(form).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], names)
 
-    packed = materialize(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(read, kind), "vectors", 4096)
+    packed = materialize(vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(tidy(read), kind), "vectors", 4096)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -127,7 +127,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     with settings(packed.sparkSession, 64):
         found = packed.groupBy("query").agg(F.sum("n"), F.max("width")).collect()
         count, width = {r[0]: r[1] for r in found}, max((r[2] for r in found), default=0)
-        rows = packed.where("NOT query").select("n", "width", "form", "data").mapInArrow(moments, "row int, data binary").groupBy("row").applyInArrow(added, "row int, data binary").orderBy("row").collect()
+        rows = packed.where("NOT query").select("n", "width", "form", "data").mapInArrow(tidy(moments), "row int, data binary").groupBy("row").applyInArrow(added, "row int, data binary").orderBy("row").collect()
     turn = axes(np.stack([np.frombuffer(r.data) for r in rows])) if rows else np.zeros((0, 0))
     tiles = {q: max(1, -(-count.get(q, 0) // (QUERIES if q else TILE))) for q in (False, True)}
     dealt = packed.withColumn("own", F.pmod(F.xxhash64("ids"), F.when(F.col("query"), tiles[True]).otherwise(tiles[False])).cast("int"))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fold, fresh, labelled_ids, materialize, release, settings, slices
+from .common import fold, fresh, labelled_ids, materialize, release, settings, slices, tidy
 
 BOUND = 10_000
 #: Sentences and features in sentences that the driver fits on, at most.
@@ -73,7 +73,7 @@ def telling(known: DataFrame) -> tuple[np.ndarray, float, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *(pa.array(np.append(c[at], m), pa.int64()) for c, m in zip(counts, n))], ["part", "clean", "toxic"])
 
     with settings(known.sparkSession):
-        got = known.select("label", "text").mapInArrow(bags, "part int, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("part < 0 OR clean + toxic >= 4").toPandas().sort_values("part")
+        got = known.select("label", "text").mapInArrow(tidy(bags), "part int, clean long, toxic long").groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("part < 0 OR clean + toxic >= 4").toPandas().sort_values("part")
     at, clean, toxic = (got[c].to_numpy(np.int64) for c in ("part", "clean", "toxic"))
     n, hits = int(clean[at < 0].sum() + toxic[at < 0].sum()), int(toxic[at < 0].sum())
     share = hits / n if n else 0.0
@@ -105,7 +105,7 @@ def sentences(known: DataFrame, kept: np.ndarray, entries: int = ENTRIES) -> lis
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cols, pa.binary()), pa.array(rows, pa.binary()), pa.array(sizes, pa.int32())], ["label_id", "label", "cols", "rows", "n"])
 
-    made = materialize(known.select("label_id", "label", "text").mapInArrow(bags, "label_id long, label int, cols binary, rows binary, n int"), "bags")
+    made = materialize(known.select("label_id", "label", "text").mapInArrow(tidy(bags), "label_id long, label int, cols binary, rows binary, n int"), "bags")
     order = [F.xxhash64("label_id"), F.col("label_id")]
     so_far = F.sum(F.octet_length("cols") / 4 + F.col("n")).over(Window.orderBy(*order))  # no more rows than labelled documents
     out = made.withColumn("so_far", so_far).where(F.col("so_far") <= entries).orderBy(*order).select("label", "cols", "rows", "n").collect()
@@ -207,7 +207,7 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, *_parse_datatype_string(kind).fields]))
+    return docs.mapInArrow(tidy(score), StructType([*docs.schema.fields, *_parse_datatype_string(kind).fields]))
 
 
 def report(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:

@@ -466,3 +466,17 @@ def test_topk_equals_brute_force(spark, monkeypatch, tile):
     assert all(sorted(g.rank for g in got if g.query_id == q) == [1, 2, 3, 4, 5] for q in {g.query_id for g in got})
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert {(g.query_id, g.vec_id) for g in topk.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).collect()} == {(0, 1)}
+
+
+def test_tidy_passes_batches_on_and_frees():
+    from rangeweave.llm import common
+
+    def work(batches):
+        held = [bytes(1000) for _ in range(1000)]
+        for b in batches:
+            yield b
+        held.clear()
+
+    made = [pa.RecordBatch.from_arrays([pa.array([i])], ["i"]) for i in range(3)]
+    assert list(common.tidy(work)(iter(made))) == made
+    assert list(common.tidy(work)(iter([]))) == []
