@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import slices, tidy
-from .tokens import encode_texts, tokenizer_path
+from .tokens import encode_texts, forget, tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -60,6 +60,7 @@ def pack_documents(docs: DataFrame, context: int = 2048, end_id: int = 1, path:
                 ends = pa.array([0, *accumulate(cols["length"])], pa.int32())
                 arrays.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(cols["length"]), [None, pa.py_buffer(b"".join(flat))])))
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        forget(path)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(tidy(pack), SCHEMA + (", ids array<int>" if with_ids else ""))

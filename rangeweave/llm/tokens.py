@@ -75,6 +75,13 @@ def library_of(path: str) -> Library:
     return _libraries[path]
 
 
+def forget(path: str) -> None:
+    """Empties the caches of words: for the end of a task, as the process lives on and may turn to other work."""
+    library = library_of(path)
+    library.bare.clear()
+    library.blanked.clear()
+
+
 def encode_texts(texts: list, path: str, end: int) -> list[bytes]:
     """Little-endian 32-bit ids of every text (None: empty), each closed by the id `end`.
 
