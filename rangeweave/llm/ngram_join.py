@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks
 from .common import fresh, give_back, materialize, release, settings, tidy
@@ -35,6 +35,8 @@ from .graph import components
 WIDTH = 5
 BATCH_ROWS = 1500
 GROUP_BYTES = 24 << 20
+#: Words of 64 bits in keep_one's filter, at most.
+MARK_WORDS = 1 << 18
 NO_ID = -(1 << 63)
 MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -297,22 +299,42 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return every.join(names, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def mark(id_: Column, key: Column, words: int) -> tuple[Column, Column]:
+    """Where a row of this id and key is marked: the number of a word, and up to three of its 64 bits."""
+    h = F.xxhash64(id_, key)
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return h.bitwiseAND(F.lit(words - 1)), bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
+
+
+def split(rows: DataFrame, id_: str, key: str, named: DataFrame, named_id: str, named_key: str, count: int) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts, neither of which is shuffled: those that may have an id and key of named (all that have, and a few more), and those that have not.  Words of bits are broadcast, one for each four of named, MARK_WORDS at most; where named are many more, more rows come with the first part."""
+    words = min(MARK_WORDS, 1 << (count // 4).bit_length())
+    word, bits = (fresh(rows, n) for n in ("word", "bits"))
+    at, own = mark(F.col(named_id), F.col(named_key), words)
+    marks = F.broadcast(named.groupBy(at.alias(word)).agg(F.bit_or(own).alias(bits)))
+    at, own = mark(F.col(id_), F.col(key), words)
+    held = (at == F.col(word)) & (F.col(bits).bitwiseAND(own) == own)
+    return rows.join(marks, held, "left_semi"), rows.join(marks, held, "left_anti")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one of the smallest (doc_id, digest, hash of the text), null ids last.  Rows that link with none all stay, whatever their ids."""
+    """docs with one row of each component: the one of the smallest (doc_id, digest, hash of the text), null ids last.  Rows that link with none all stay, whatever their ids.  Of the texts only those travel that a filter by id and hash doesn't clear."""
     id_, key, gone_id, gone_key = (fresh(docs, n) for n in ("row_id", "row_key", "gone_id", "gone_key"))
     text = F.col("text").cast("string")
     every, names = linked_rows(docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("row_key")))
     rows = materialize(every.join(names, "digest").groupBy("root", "doc_id", "digest", "row_key").agg(F.count("*").alias("n")), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest", "row_key")
     first = rows.groupBy("root").agg(F.min(rank).alias("first"))
-    marked = rows.join(first, "root").select(F.col("doc_id").alias(gone_id), F.col("row_key").alias(gone_key), "n", rank.eqNullSafe(F.col("first")).alias("stays"))
-    gone, again = marked.where("NOT stays").select(gone_id, gone_key), marked.where("stays AND n > 1").select(gone_id, gone_key)
+    stays = rank.eqNullSafe(F.col("first"))
+    marked = materialize(rows.join(first, "root").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(gone_id), F.col("row_key").alias(gone_key), stays.alias("stays")), "marked")
+    release(rows)
+    named, again = marked.select(gone_id, gone_key), marked.where("stays").select(gone_id, gone_key)
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.xxhash64(text)})
     same = F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
-    if again.isEmpty():
-        out = keyed.join(gone, same, "left_anti")
-    else:  # a row that stays has copies under its own id
-        out = keyed.join(gone.unionByName(again), same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([id_, key]))
+    near, clear = split(keyed, id_, key, named, gone_id, gone_key, marked.count())
+    out = clear.unionByName(near.join(named, same, "left_anti"))
+    if not again.isEmpty():  # a row that stays has copies under its own id
+        out = out.unionByName(near.join(again, same, "left_semi").dropDuplicates([id_, key]))
     return out.drop(id_, key)
 
 
