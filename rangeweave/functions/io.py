@@ -57,6 +57,24 @@ def write_bytes(uri: str, data: bytes) -> None:
         out.write(data)
 
 
+def created(uri: str):
+    """A new file to write to, block by block."""
+    f, path = locate(uri)
+    f.create_dir(posixpath.dirname(path), recursive=True)
+    return f.open_output_stream(path, compression=None)
+
+
+def join_files(target: str, parts: list[str], head: bytes = b"", tail: bytes = b"") -> None:
+    """The parts one behind the other as one file, passed on in blocks."""
+    with created(target) as out:
+        out.write(head)
+        for p in parts:
+            with opened(p) as src:
+                while block := src.read(8 << 20):
+                    out.write(block)
+        out.write(tail)
+
+
 def copy_file(source: str, target: str, override: bool = False) -> None:
     """Copies a raw file in blocks; an existing target is an error unless override."""
     if exists(target):

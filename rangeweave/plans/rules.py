@@ -17,6 +17,16 @@ def positive(**values: int) -> None:
             raise ValueError(f"{k} must be a positive integer, not {v!r}")
 
 
+#: Pieces of an object that many small ones share a task for: at most so many tasks, or so many bytes of the object for each.
+TASKS, TASK_BYTES = 256, 8 << 20
+
+
+def task_groups(n: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of n pieces, one for each task: a piece each, unless there are more than TASKS of them and they are small."""
+    k = min(n, max(TASKS, -(-size // TASK_BYTES)))
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 def byte_chunks(size: int, num_chunks: int | None = None, chunk_size: int | None = None, base: int = 0) -> list[tuple[int, int]]:
     """Exactly num_chunks ranges of ceil(body / n) bytes (tail ones may be empty), or ceil(body / chunk_size) ranges."""
     body = size - base

@@ -309,8 +309,9 @@ def imzml_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_las(spark: SparkSession, sf_dir: str) -> str:
-    p = table(spark, sf_dir, "events").orderBy("event_id").select(F.floor("value").cast("int").alias("x"), F.col("user_id").cast("int").alias("y"), (F.col("event_id") % 1000).cast("int").alias("z")).toPandas()
-    path = files.write_las(f"{scratch(spark, 'las')}/events.las", p.x, p.y, p.z, p.z % 100, p.y % 5, scales=(1.0, 1.0, 1.0))
+    p = table(spark, sf_dir, "events").orderBy("event_id").select(F.floor("value").cast("int").alias("x"), F.col("user_id").cast("int").alias("y"), (F.col("event_id") % 1000).cast("int").alias("z"))
+    p = p.withColumns({"intensity": F.col("z") % 100, "classification": F.col("y") % 5})
+    path = files.write_las_rows(p, f"{scratch(spark, 'las')}/events.las", scales=(1.0, 1.0, 1.0))
     api.build_index(spark, "las", path, block_points=1000)
     return path
 

@@ -1,7 +1,7 @@
 """Single raw files from DataFrames.
 
 A sorted DataFrame is written by its tasks as numbered parts in a folder of its own; the driver then streams the parts into one object, block by
-block, without holding them.  This is how a table becomes one raw object of a line-based format; binary writers take bounded arrays.
+block, without holding them.  This is how a table becomes one raw object of a line-based format, a LAS file or a folder of columns; the other binary writers take bounded arrays.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 import gzip
 import posixpath
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..codecs import las, tiff
 from ..functions import io
@@ -59,6 +63,58 @@ def write_las(path: str, x, y, z, intensity, classification, scales=(0.01, 0.01,
     return path
 
 
+def binary_parts(rows: DataFrame, folder: str, encode: Callable[[pa.RecordBatch], tuple[dict[str, bytes], list[int], list[int]]]) -> list[Row]:
+    """Rows made to bytes by the tasks, in files <folder>/<tag>.<name>.  encode: of a batch, the bytes for each name, and the least and greatest of what the caller measures.
+
+    A row for each task that had rows, in the DataFrame's order: tag, n, low, high.  A task that runs again writes files of its own; those of the attempt that ended count.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag, n, low, high, outs = uuid.uuid4().hex, 0, None, None, {}
+        with ExitStack() as held:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                made, least, most = encode(b)
+                for name, data in made.items():
+                    if name not in outs:
+                        outs[name] = held.enter_context(io.created(f"{folder}/{tag}.{name}"))
+                    outs[name].write(data)
+                low, high = (list(map(min, low, least)), list(map(max, high, most))) if n else (least, most)
+                n += b.num_rows
+        if n:
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((TaskContext.get().partitionId(), tag, n, low, high), kinds)], ["part", "tag", "n", "low", "high"])
+
+    return sorted(rows.mapInArrow(work, "part int, tag string, n long, low array<long>, high array<long>").collect(), key=lambda r: r.part)
+
+
+def write_las_rows(rows: DataFrame, path: str, scales=(0.01, 0.01, 0.01), offsets=(0.0, 0.0, 0.0)) -> str:
+    """Columns x, y, z, intensity, classification in the DataFrame's order as one LAS file; the driver sees the tasks' numbers and extents, and blocks of bytes."""
+
+    def encode(b: pa.RecordBatch) -> tuple[dict[str, bytes], list[int], list[int]]:
+        p = las.points(*(c.to_numpy(zero_copy_only=False) for c in b.columns), scales, offsets)
+        return {"points": p.tobytes()}, *las.extent(p)
+
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    made = binary_parts(rows.select("x", "y", "z", "intensity", "classification"), folder, encode)
+    low, high = ([f(v) for v in zip(*(getattr(r, c) for r in made))] or [0] * 3 for f, c in ((min, "low"), (max, "high")))
+    io.join_files(path, [f"{folder}/{r.tag}.points" for r in made], las.head(sum(r.n for r in made), low, high, scales, offsets))
+    io.delete(folder)
+    return path
+
+
+def write_columns(rows: DataFrame, folder: str, names: list[str], encode: Callable[[pa.RecordBatch], dict[str, bytes]], bucket: int) -> int:
+    """Rows in the DataFrame's order as <folder>/<name>.bin for each name, padded with zeros to a multiple of `bucket` bytes; the number of rows."""
+    parts = f"{folder}.parts-{uuid.uuid4().hex}"
+    made = binary_parts(rows, parts, lambda b: (encode(b), [], []))
+    for name in names:
+        found = [f"{parts}/{r.tag}.{name}" for r in made]
+        io.join_files(f"{folder}/{name}.bin", found, tail=b"\0" * (-sum(map(io.size, found)) % bucket))
+    io.delete(parts)
+    return sum(r.n for r in made)
+
+
 def write_tiff(path: str, pixels: np.ndarray, **how) -> str:
     io.write_bytes(path, tiff.write(pixels, **how))
     return path

@@ -61,7 +61,8 @@ class Las(Format):
                             rows.append((i, h["offset_to_point_data"] + lo * step, h["offset_to_point_data"] + hi * step, x.min(), x.max(), y.min(), y.max()))
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.float64()) for k in range(7)], ["ordinal", "start", "end", "min_x", "max_x", "min_y", "max_y"])
 
-        table = spark.range(0, n, 1, min(n, 10_000)).mapInArrow(extents, "ordinal long, start long, end long, min_x double, max_x double, min_y double, max_y double")
+        tasks = len(rules.task_groups(n, h["point_count"] * step))
+        table = spark.range(0, n, 1, min(tasks, 10_000)).mapInArrow(extents, "ordinal long, start long, end long, min_x double, max_x double, min_y double, max_y double")
         return h, {"blocks": table}
 
     def schema(self, manifest, options):
