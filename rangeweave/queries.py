@@ -559,7 +559,7 @@ def las_slices_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [las.header(d.as_py()) for d in b.column(1)]
+            found = [las.header(d.as_buffer()[:1024].to_pybytes()) for d in b.column(1)]
             values = ([h["point_count"] for h in found], [h["mins"][0] for h in found], [h["maxs"][1] for h in found], [h["maxs"][2] for h in found])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.float64() if i else pa.int64()) for i, v in enumerate(values))], ["slice_id", "n", "min_x", "max_y", "max_z"])
 

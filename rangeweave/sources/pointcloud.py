@@ -101,10 +101,16 @@ class Las(Format):
 
     def render(self, manifest, part, options):
         """A LAS file of the tile's points (format 0)."""
-        got = list(self.points(manifest, part, options))
-        join = lambda k: np.concatenate([g[k] for g in got]) if got else np.empty(0)
-        p = np.concatenate([g[3] for g in got]) if got else np.empty(0, las.record(manifest.attributes))
-        return las.write(join(0), join(1), join(2), p["intensity"], p["classification"], manifest.attributes["scales"], manifest.attributes["offsets"])
+        scales, offsets = manifest.attributes["scales"], manifest.attributes["offsets"]
+        out, found = bytearray(las.HEADER_SIZE), []
+        for x, y, z, p, _ in self.points(manifest, part, options):
+            made = las.points(x, y, z, p["intensity"], p["classification"], scales, offsets)
+            if len(made):
+                out += made.tobytes()
+                found.append((len(made), *las.extent(made)))
+        low, high = ([f(v) for v in zip(*(e[k] for e in found))] or [0] * 3 for f, k in ((min, 1), (max, 2)))
+        out[: las.HEADER_SIZE] = las.head(sum(e[0] for e in found), low, high, scales, offsets)
+        return bytes(out)
 
 
 class Copc(Format):
