@@ -410,25 +410,26 @@ PER_TIME = 7
 
 
 def events_ms(spark: SparkSession, sf_dir: str) -> str:
-    p = table(spark, sf_dir, "events").orderBy("event_id").select(F.row_number().over(in_order()).alias("r"), "user_id", F.floor("value").cast("float").alias("v")).toPandas()
-    folder, n = f"{scratch(spark, 'ms')}/events.ms", len(p)
-    data = np.stack([p.v.to_numpy("<f4"), p.user_id.to_numpy("<f4")], 1)
-    flags = np.packbits(np.stack([p.user_id % 2 == 0, p.user_id % 3 == 0, p.user_id % 5 == 0], 1), axis=1, bitorder="little")
-    columns = [("TIME", "double", [1], ((p.r - 1) // PER_TIME).to_numpy("<f8")), ("DATA", "float", [2], data), ("FLAG", "bool", [3], flags), ("ANTENNA", "int", [1], p.user_id.to_numpy("<i4"))]
-    for name, _, _, v in columns:
-        raw = np.ascontiguousarray(v).tobytes()
-        io.write_bytes(f"{folder}/{name}.bin", raw + b"\0" * (-len(raw) % 4096))
-    io.write_bytes(f"{folder}/table.json", json.dumps({"total_rows": n, "columns": [{"name": c, "file": f"{c}.bin", "type": t, "shape": s, "bucketsize": 4096} for c, t, s, _ in columns], "static": {"SPECTRAL_WINDOW": 1}}).encode())
+    """Rows in the order of event_id, written by the tasks; a row's time follows from its number, so that TIME needs their count alone."""
+
+    def encode(b: pa.RecordBatch) -> dict[str, bytes]:
+        user, v = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        flags = np.packbits(np.stack([user % 2 == 0, user % 3 == 0, user % 5 == 0], 1), axis=1, bitorder="little")
+        return {"DATA": np.stack([v.astype("<f4"), user.astype("<f4")], 1).tobytes(), "FLAG": flags.tobytes(), "ANTENNA": user.astype("<i4").tobytes()}
+
+    folder, bucket, step = f"{scratch(spark, 'ms')}/events.ms", 4096, 1 << 20
+    p = table(spark, sf_dir, "events").orderBy("event_id").select("user_id", F.floor("value").cast("float").alias("v"))
+    n = files.write_columns(p, folder, ["DATA", "FLAG", "ANTENNA"], encode, bucket)
+    with io.created(f"{folder}/TIME.bin") as out:
+        for a in range(0, n, step):
+            out.write((np.arange(a, min(n, a + step)) // PER_TIME).astype("<f8").tobytes())
+        out.write(b"\0" * (-8 * n % bucket))
+    columns = [("TIME", "double", [1]), ("DATA", "float", [2]), ("FLAG", "bool", [3]), ("ANTENNA", "int", [1])]
+    io.write_bytes(f"{folder}/table.json", json.dumps({"total_rows": n, "columns": [{"name": c, "file": f"{c}.bin", "type": t, "shape": s, "bucketsize": bucket} for c, t, s in columns], "static": {"SPECTRAL_WINDOW": 1}}).encode())
     api.build_index(spark, "ms", folder)
     return folder
 
 
-def in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("event_id")
-
-
 @query(
     f"""WITH t AS (SELECT count(*) AS total, count(*) // {PER_TIME} AS times FROM events), n AS (SELECT total, times, least(11, times) AS n FROM t),
 b AS (SELECT i, total, n, {PER_TIME} * (i * (times // n) + least(i, times % n)) AS a, {PER_TIME} * ((i + 1) * (times // n) + least(i + 1, times % n)) AS z FROM n, range(11) r(i) WHERE i < n)

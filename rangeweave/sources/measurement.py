@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,16 @@ from .base import Format, Manifest
 CELL = {"double": (8, "<f8"), "float": (4, "<f4"), "complex": (8, "<c8"), "int": (4, "<i4"), "bool": (1 / 8, "u1")}
 
 
+#: Rows that are held at a time.
+BLOCK_ROWS = 1 << 16
+
+
+def blocks(first: int, last: int) -> Iterator[dict]:
+    """Rows first to last, both included, in runs of BLOCK_ROWS."""
+    for a in range(first, last + 1, BLOCK_ROWS):
+        yield {"row_0": a, "row_1": min(last, a + BLOCK_ROWS - 1)}
+
+
 def block_size(kind: str, shape: list[int]) -> int:
     """Bytes of a row; booleans are bits."""
     return math.ceil(math.prod(shape) * CELL[kind][0])
@@ -51,9 +62,14 @@ class MeasurementSet(Format):
             if c.get("type") not in CELL or "shape" not in c or c["file"] not in files:
                 raise ValueError(f"column {c.get('name')}: type, shape or file is missing")
         time = next(c for c in table["columns"] if c["name"] == "TIME")
+        step, first, per = block_size(time["type"], time["shape"]), None, 0
         with io.opened(f"{path}/{time['file']}") as f:
-            values = cells(f.read(), time["type"], time["shape"], table["total_rows"])[:, 0]
-        per = int((values == values[0]).sum()) if len(values) else 1
+            for b in blocks(0, table["total_rows"] - 1):
+                rows = b["row_1"] - b["row_0"] + 1
+                values = cells(f.read_at(step * rows, step * b["row_0"]), time["type"], time["shape"], rows)[:, 0]
+                first = values[0] if first is None else first
+                per += int((values == first).sum())
+        per = per if table["total_rows"] else 1
         mutable = [{"file_name": c["file"], "real_size": io.size(f"{path}/{c['file']}"), "bucketsize": c["bucketsize"], "block_size": block_size(c["type"], c["shape"])} for c in table["columns"]]
         return {"ms_name": path.rstrip("/").rpartition("/")[2], "total_rows": table["total_rows"], "rows_per_time": per, "mutable_files": mutable, "static_columns": sorted(table.get("static", {})), "columns": table["columns"], "static": table.get("static", {})}, {}
 
@@ -69,6 +85,10 @@ class MeasurementSet(Format):
             return f.read_at(step * (part["row_1"] - part["row_0"] + 1), step * part["row_0"])
 
     def read(self, manifest, part, options):
+        for b in blocks(part["row_0"], part["row_1"]):
+            yield self.batch(manifest, part | b)
+
+    def batch(self, manifest: Manifest, part: dict) -> pa.RecordBatch:
         rows = part["row_1"] - part["row_0"] + 1
         arrays = [pa.array(np.arange(part["row_0"], part["row_1"] + 1)), pa.array([part["slice_id"]] * rows, pa.int32())]
         for c in manifest.attributes["columns"]:

@@ -8,6 +8,7 @@ from rangeweave import api, queries
 from rangeweave.codecs import las
 from rangeweave.functions import io
 from rangeweave.sinks import files
+from rangeweave.sources import measurement
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,29 @@ def test_las_tile_rendered_in_pieces(spark, tmp_path):
     for s in api.slices(spark, "las", path, num_chunks=4).collect():
         own = api.read(spark, "las", path, num_chunks=4).where(f"tile_x = {s.slice_id // 2} and tile_y = {s.slice_id % 2}").orderBy("point_no").collect()
         assert bytes(s.payload) == las.write(*([r[c] for r in own] for c in ("x", "y", "z", "intensity", "classification")))
+
+
+def test_ms_without_rows_in_the_driver(spark, monkeypatch, no_rows_to_driver):
+    monkeypatch.setattr(measurement, "BLOCK_ROWS", 10)
+    folder = queries.events_ms(spark, SF)
+    e = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").select("user_id", F.floor("value").alias("v")).collect()
+    user, v = np.array([r.user_id for r in e]), np.array([r.v for r in e])
+    flags = np.packbits(np.stack([user % k == 0 for k in (2, 3, 5)], 1), axis=1, bitorder="little")
+    want = {"TIME": (np.arange(len(e)) // 7).astype("<f8"), "DATA": np.stack([v, user], 1).astype("<f4"), "FLAG": flags, "ANTENNA": user.astype("<i4")}
+    for name, w in want.items():
+        assert io.read_bytes(f"{folder}/{name}.bin") == w.tobytes() + b"\0" * (-w.nbytes % 4096)
+    assert api.attributes(spark, "ms", folder).first().rows_per_time == 7
+
+
+def test_ms_slice_is_read_and_written_in_blocks(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(measurement, "BLOCK_ROWS", 10)
+    folder = queries.events_ms(spark, SF)
+    fmt = measurement.MeasurementSet()
+    m = fmt.manifest(folder, {})
+    part = fmt.plan(m, None, {"num_chunks": 9})[3]
+    got = list(fmt.read(m, part, {}))
+    assert max(b.num_rows for b in got) == 10 and [r for b in got for r in b.column(0).to_pylist()] == list(range(part["row_0"], part["row_1"] + 1))
+    fmt.write_slice(m, part, f"{tmp_path}/s")
+    for c in m.attributes["columns"]:
+        data = fmt.column_bytes(m, part, c)
+        assert io.read_bytes(f"{tmp_path}/s/{c['file']}") == data + b"\0" * (-len(data) % 4096)
