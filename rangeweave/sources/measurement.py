@@ -96,13 +96,15 @@ class MeasurementSet(Format):
             flat = v.ravel()
             values = pa.StructArray.from_arrays([pa.array(flat.real), pa.array(flat.imag)], ["re", "im"]) if c["type"] == "complex" else pa.array(flat)
             arrays.append(values if v.shape[1] == 1 else pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * v.shape[1]), values))
-        yield pa.RecordBatch.from_arrays(arrays, ["row", "slice_id", *(c["name"] for c in manifest.attributes["columns"])])
+        return pa.RecordBatch.from_arrays(arrays, ["row", "slice_id", *(c["name"] for c in manifest.attributes["columns"])])
 
     def write_slice(self, manifest: Manifest, part: dict, target: str) -> None:
         """A folder of the slice's rows alone, each column padded to its bucket size."""
         a = manifest.attributes
         rows = part["row_1"] - part["row_0"] + 1
         for c in a["columns"]:
-            data = self.column_bytes(manifest, part, c)
-            io.write_bytes(f"{target}/{c['file']}", data + b"\0" * (-len(data) % c["bucketsize"]))
+            with io.created(f"{target}/{c['file']}") as out:
+                for b in blocks(part["row_0"], part["row_1"]):
+                    out.write(self.column_bytes(manifest, part | b, c))
+                out.write(b"\0" * (-out.tell() % c["bucketsize"]))
         io.write_bytes(f"{target}/table.json", json.dumps({"total_rows": rows, "columns": a["columns"], "static": a["static"]}).encode())
