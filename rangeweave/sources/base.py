@@ -4,7 +4,7 @@ A format knows how to index an object (`build`), to cut it by a named strategy (
 The index lives beside the object, in <path>.rwidx (or option indexPath): attributes as JSON, larger tables as Parquet; the manifest is
 written last, so that an object counts as indexed only when all of it is there.
 
-Reading goes through Spark's Python data source API: the slices of the chosen strategy are the input partitions, each task reads its
+Reading goes through Spark's Python data source API: the slices of the chosen strategy are the input partitions (many small ones share one), each task reads its
 own byte ranges and repairs the record boundaries, and hands Arrow batches to the JVM.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import io
+from ..plans import rules
 
 VERSION = 1
 
@@ -93,6 +94,11 @@ class Format:
     def read(self, manifest: Manifest, part: dict, options: dict) -> Iterator[pa.RecordBatch]:
         raise NotImplementedError
 
+    def read_all(self, manifest: Manifest, parts: list[dict], options: dict) -> Iterator[pa.RecordBatch]:
+        """The records of a task's slices, which follow each other in the plan."""
+        for part in parts:
+            yield from self.read(manifest, part, options)
+
     def render(self, manifest: Manifest, part: dict, options: dict) -> bytes:
         """The slice's payload in its own format, repaired and with its header."""
         raise NotImplementedError(f"{self.name} has no payload form")
@@ -153,7 +159,9 @@ def parameters_of(options: dict) -> dict[str, Any]:
 
 
 class Part(InputPartition):
-    def __init__(self, value: dict):
+    """The slices of a task."""
+
+    def __init__(self, value: list[dict]):
         super().__init__(value)
 
 
@@ -164,19 +172,20 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         slices = self.fmt.plan(self.manifest, self.options.get("strategy"), parameters_of(self.options))
+        planned = max(1, len(slices))
         if self.options.get("ranges"):
             slices = self.fmt.prune(self.manifest, slices, {k: tuple(v) for k, v in json.loads(self.options["ranges"]).items()})
-        return [Part(s) for s in slices] or [Part({})]
+        groups = rules.task_groups(len(slices), self.manifest.size * len(slices) // planned)
+        return [Part(slices[a:b]) for a, b in groups] or [Part([])]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if not partition.value:
-            return
         if self.options.get("render") == "true":
-            payload = self.fmt.render(self.manifest, partition.value, self.options)
-            yield pa.RecordBatch.from_arrays([pa.array([partition.value["slice_id"]], pa.int32()), pa.array([payload], pa.binary())], ["slice_id", "payload"])
+            for part in partition.value:
+                payload = self.fmt.render(self.manifest, part, self.options)
+                yield pa.RecordBatch.from_arrays([pa.array([part["slice_id"]], pa.int32()), pa.array([payload], pa.binary())], ["slice_id", "payload"])
             return
         names = self.out.names
-        for batch in self.fmt.read(self.manifest, partition.value, self.options):
+        for batch in self.fmt.read_all(self.manifest, partition.value, self.options):
             yield batch.select(names) if batch.schema.names != names else batch
 
 

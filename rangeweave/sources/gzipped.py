@@ -10,6 +10,7 @@ import gzip
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from ..codecs import zran
@@ -103,12 +104,32 @@ class GzipText(Format):
         return "line_no long, line string, _slice_id int"
 
     def read(self, manifest, part, options):
+        yield from self.run(manifest, [part], options)
+
+    def read_all(self, manifest, parts, options):
+        """Slices whose lines follow each other are inflated in one go."""
+        if type(self).read is not GzipText.read:  # a subclass that reads slice by slice
+            yield from super().read_all(manifest, parts, options)
+            return
+        held: list[dict] = []
+        for part in (p for p in parts if p["line_0"] < p["line_1"]):
+            if held and held[-1]["line_1"] != part["line_0"]:
+                yield from self.run(manifest, held, options)
+                held = []
+            held.append(part)
+        if held:
+            yield from self.run(manifest, held, options)
+
+    def run(self, manifest: Manifest, parts: list[dict], options: dict) -> Iterator[pa.RecordBatch]:
+        """The lines of slices that follow each other, from the first one's window on."""
         numbers, lines = [], []
+        first, ids = (np.array([p[k] for p in parts]) for k in ("line_0", "slice_id"))
 
         def made():
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array([part["slice_id"]] * len(lines), pa.int32())], ["line_no", "line", "_slice_id"])
+            of = ids[np.searchsorted(first, numbers, "right") - 1]
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), pa.array(of, pa.int32())], ["line_no", "line", "_slice_id"])
 
-        for number, line in self.lines(manifest, part):
+        for number, line in self.lines(manifest, parts[0] | {"line_1": parts[-1]["line_1"]}):
             numbers.append(number)
             lines.append(line.decode("utf-8", "replace"))
             if len(lines) == BATCH:
@@ -136,12 +157,12 @@ class Fastq(GzipText):
     def schema(self, manifest, options):
         return "read_no long, id string, seq string, plus string, qual string, _slice_id int"
 
-    def read(self, manifest, part, options):
-        if (part["line_0"] - 1) % 4 or (part["line_1"] - 1) % 4:
+    def run(self, manifest, parts, options):
+        if any((p["line_0"] - 1) % 4 or (p["line_1"] - 1) % 4 for p in parts):
             raise ValueError("a slice of lines cuts a read; use reads_batches or sequences_per_chunk")
-        for batch in super().read(manifest, part, options):
+        for batch in super().run(manifest, parts, options):
             text = batch.column(1).to_pylist()
             if len(text) % 4:
                 raise ValueError("the number of lines is not a multiple of 4")
             first = pa.array([(n - 1) // 4 for n in batch.column(0).to_pylist()[::4]], pa.int64())
-            yield pa.RecordBatch.from_arrays([first, *(pa.array(text[k::4], pa.string()) for k in range(4)), batch.column(2).slice(0, len(first))], ["read_no", "id", "seq", "plus", "qual", "_slice_id"])
+            yield pa.RecordBatch.from_arrays([first, *(pa.array(text[k::4], pa.string()) for k in range(4)), pa.array(batch.column(2).to_numpy()[::4])], ["read_no", "id", "seq", "plus", "qual", "_slice_id"])
